@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import copies, leakage, packing
+from tallyforge.llm import abuse, copies, leakage, packing, residue
 from tallyforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,25 @@ g AS (SELECT v0, v1, v2, min(capture_id) AS keep_id, count(*) AS copies FROM v G
 """
 
 
+# 6: template residue and error texts
+
+VALUES = ("description", "status_code")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_rows").select("source_row_id", "entity_code", *VALUES)
+    return residue.found(rows, "source_row_id", VALUES, "entity_code")
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and cases by field, and the classifier's figures on entities it was not trained on."""
+    rows = table(spark, folder, "source_rows").select("source_row_id", "entity_code", *VALUES)
+    model = residue.fit(rows, VALUES, "entity_code")
+    marked = residue.scored(rows, "source_row_id", VALUES, model)
+    figures = [F.lit(float(model.report.get(k, 0.0))).alias(f"held_out_{k}") for k in ("precision", "recall", "f1")]
+    return marked.groupBy("field").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("score") >= model.threshold).alias("residue")).select("*", *figures)
+
+
 # 7: filling containers
 
 
@@ -70,14 +89,41 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), proximity=True)
 
 
+# 9: abusive, hateful or sexual content
+
+
+def _model(spark: SparkSession, folder: str) -> abuse.Model:
+    return abuse.fit(abuse.sample(table(spark, folder, "documents"), table(spark, folder, "doc_labels")))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scored(table(spark, folder, "documents"), _model(spark, folder), "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    model = _model(spark, folder)
+    return abuse.scored(table(spark, folder, "documents"), model, "doc_id").filter(F.col("score") >= model.threshold).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    model = _model(spark, folder)
+    scored = abuse.scored(table(spark, folder, "documents"), model, "doc_id", "source")
+    return abuse.rates(scored.withColumn("flagged", F.col("score") >= model.threshold))
+
+
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p7_packing": p7_packing,
     "p7_quality": p7_quality,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_matches": p8_matches,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 SQL = {
