@@ -168,10 +168,10 @@ def _build(texts: list[bytes], skip: np.ndarray) -> tuple[Index | None, np.ndarr
     marks = marks[np.searchsorted(quotes, marks) % 2 == 0]
     kind = _KIND[buffer[marks]]
     step = np.where(kind == _OPEN, 1, np.where(kind == _CLOSE, -1, 0))
-    depth = np.cumsum(step)
     record = record_of(marks)
     # a text's depth must come back to 0 at its end, and never fall below 0 or leave 0 twice
     net = np.bincount(record, step, minlength=len(texts))
+    depth = np.cumsum(step) - (np.cumsum(net) - net).astype(np.int64)[record]
     wrong |= net != 0
     opens = np.bincount(record[(kind == _OPEN) & (depth == 1)], minlength=len(texts))
     wrong |= opens != 1

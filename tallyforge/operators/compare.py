@@ -103,24 +103,24 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[st
     ranges, bits = mismatched_ranges(left, right, key, fields)
     n_ranges = ranges.count()
     sides = [_within(df, ranges, n_ranges, key, bits).withColumn("__tf_side", F.lit(side)) for df, side in ((left, 1), (right, 2))]
-    rows = sides[0].unionByName(sides[1]).groupBy(key, *fields).agg(F.bit_or("__tf_side").alias("m"))
+    rows = sides[0].unionByName(sides[1]).groupBy(key, *fields).agg(F.bit_or("__tf_side").alias("__tf_m"))
     whole = F.struct(*fields)
-    on = lambda s: F.col("m").bitwiseAND(F.lit(s)) != 0
+    on = lambda s: F.col("__tf_m").bitwiseAND(F.lit(s)) != 0
     per_key = rows.groupBy(key).agg(
-        F.count_if(on(1)).alias("n1"), F.count_if(on(2)).alias("n2"), F.max(F.when(on(1), whole)).alias("a"), F.max(F.when(on(2), whole)).alias("b")
+        F.count_if(on(1)).alias("__tf_n1"), F.count_if(on(2)).alias("__tf_n2"), F.max(F.when(on(1), whole)).alias("__tf_a"), F.max(F.when(on(2), whole)).alias("__tf_b")
     )
-    alone = F.when(F.col("n2") == 0, F.array(F.lit(names[0]))).when(F.col("n1") == 0, F.array(F.lit(names[1])))
-    unequal = F.filter(F.array(*[F.when(~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
-    single = per_key.filter("n1 <= 1 and n2 <= 1 or n1 = 0 or n2 = 0").select(key, F.explode(F.coalesce(alone, unequal)).alias("difference"))
+    alone = F.when(F.col("__tf_n2") == 0, F.array(F.lit(names[0]))).when(F.col("__tf_n1") == 0, F.array(F.lit(names[1])))
+    unequal = F.filter(F.array(*[F.when(~F.col(f"__tf_a.`{c}`").eqNullSafe(F.col(f"__tf_b.`{c}`")), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
+    single = per_key.filter("__tf_n1 <= 1 and __tf_n2 <= 1 or __tf_n1 = 0 or __tf_n2 = 0").select(key, F.explode(F.coalesce(alone, unequal)).alias("difference"))
     # several versions of a key on a side: a field differs when some value of it is on one side only
-    versions = per_key.filter("n1 > 0 and n2 > 0 and (n1 > 1 or n2 > 1)").select(F.col(key).alias("__tf_key"))
+    versions = per_key.filter("__tf_n1 > 0 and __tf_n2 > 0 and (__tf_n1 > 1 or __tf_n2 > 1)").select(F.col(key).alias("__tf_key"))
     many = rows.join(versions, rows[key].eqNullSafe(versions["__tf_key"]), "left_semi")
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"}).alias("value")) for c in fields]))
     several = (
-        many.select(key, "m", values.alias("v"))
-        .groupBy(key, F.col("v.field").alias("difference"), "v.value")
-        .agg(F.bit_or("m").alias("m"))
-        .filter("m <> 3")
+        many.select(key, "__tf_m", values.alias("__tf_v"))
+        .groupBy(key, F.col("__tf_v.field").alias("difference"), "__tf_v.value")
+        .agg(F.bit_or("__tf_m").alias("__tf_m"))
+        .filter("__tf_m <> 3")
         .select(key, "difference")
         .distinct()
     )

@@ -110,6 +110,9 @@ def flatten(df: DataFrame, text: str, carry: Sequence[str], layout: Layout = PRO
 
     Every child comes out, also one without a key. malformed: rows of kind ``malformed`` too.
     """
+    made = {"parent_pos", "kind", "child_pos", "child_key", *layout.attributes}
+    if made & set(carry):
+        raise ValueError(f"carried columns clash with what is made: {sorted(made & set(carry))}")
     types = dict(df.dtypes)
     plain = df.select(*[F.col(f"`{c}`") for c in carry], F.encode(F.col(f"`{text}`"), "utf-8").alias("__tf_text"))
     schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", parent_pos long, kind string, child_pos long, child_key string"
