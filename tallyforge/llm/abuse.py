@@ -101,7 +101,7 @@ def _within(flag: np.ndarray, near: int, owner_start: np.ndarray, owner_end: np.
     return c[np.minimum(i + near + 1, owner_end)] - c[np.maximum(i - near, owner_start)]
 
 
-FEATURES = 46
+FEATURES = 45
 
 
 def features(texts: list[str], places: dict[str, int], weights: np.ndarray, codes: _Codes | None = None) -> np.ndarray:
@@ -145,7 +145,6 @@ def features(texts: list[str], places: dict[str, int], weights: np.ndarray, code
     stretch = c[np.minimum(i + STRETCH, last)] - c[i]
     positive = np.concatenate([[0.0], np.cumsum(np.maximum(learned, 0))])
     stretch_up = positive[np.minimum(i + STRETCH, last)] - positive[i]
-    best_sentence = np.zeros(len(full))
 
     columns = [
         np.log1p(sizes),
@@ -177,9 +176,8 @@ def features(texts: list[str], places: dict[str, int], weights: np.ndarray, code
         np.maximum.reduceat(learned, starts),
         by_text(learned > 2),
         top(sums(learned > 1)),
-        best_sentence,
     ]
-    out[full] = np.stack(columns, axis=1)[:, :FEATURES]
+    out[full] = np.stack(columns, axis=1)
     return out
 
 

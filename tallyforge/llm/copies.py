@@ -6,7 +6,7 @@ in a fixed field order, whatever order they were written in, and the tuples are
 
 Defined results
 ---------------
-* Null text, and text that lacks one of the labels, is no record to compare: it is left out.
+* Null text, text that lacks one of the labels, and a null id make no record to compare: left out.
 * A value that is empty, or has no letters or digits, is the empty value, equal to other empty ones.
 * Combining marks are neither letters nor digits. Backslash escapes of records written as JSON are undone.
 * Repeated rows (same id and text) count once; very long texts are compared whole.
@@ -62,7 +62,7 @@ def encoded(df: DataFrame, record_id: str, text: str, labels: Mapping[str, str]
         hit = line.rlike(f"(?i){label}")
         has_all = hit if has_all is None else has_all & hit
     values = fields(line, labels)
-    long = df.filter(has_all).select(
+    long = df.filter(has_all & F.col(f"`{record_id}`").isNotNull()).select(
         F.col(f"`{record_id}`").alias("id"),
         F.xxhash64(line).alias("h"),
         F.posexplode(F.array(*values.values())).alias("field", "raw"),

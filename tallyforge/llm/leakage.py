@@ -15,6 +15,7 @@ order, without the exact phrase.
 Defined results
 ---------------
 * Null and empty texts, documents or items, match nothing; items of fewer words than a window neither.
+  Rows without an id cannot be named and are left out.
 * Equal texts under several ids are each found. Repeated rows give the same cases once.
 * Very long texts are indexed whole, in a shard of their own. Empty tables give no rows.
 * Other columns of the tables are ignored.
@@ -56,7 +57,7 @@ def vocabulary(items: list[tuple[int, str]]) -> dict[str, int]:
 
 def held(items: DataFrame, item_id: str, text: str) -> list[tuple[int, str]]:
     """The items, brought to the driver once their size is known to be within bounds."""
-    plain = items.filter(F.length(F.col(f"`{text}`")) > 0).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).distinct()
+    plain = items.filter((F.length(F.col(f"`{text}`")) > 0) & F.col(f"`{item_id}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).distinct()
     chars = plain.agg(F.sum(F.length("t"))).first()[0] or 0
     if chars > ITEM_CHARS:
         raise ValueError(f"{chars} characters of items; search them in blocks of at most {ITEM_CHARS}")
@@ -114,7 +115,7 @@ def build(documents: DataFrame, doc_id: str, text: str, terms: dict[str, int]) -
         if ids:
             yield shard(ids, texts)
 
-    whole = documents.filter(F.length(F.col(f"`{text}`")) > 0).select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"))
+    whole = documents.filter((F.length(F.col(f"`{text}`")) > 0) & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"))
     return durable(whole.mapInArrow(run, "ids binary, starts binary, terms binary, ends binary, places binary"))
 
 

@@ -10,7 +10,7 @@ has at least one token.
 
 Defined results
 ---------------
-* Null and empty texts (and items of size 0) are in no container.
+* Null and empty texts (and items of size 0 or without an id) are in no container.
 * Ties are broken by size, then id, so that a repeated run over the same partitions packs alike.
 * Repeated rows are items of their own; other columns are ignored; an empty table gives no rows.
 """
@@ -44,7 +44,7 @@ def sizes(df: DataFrame, item_id: str, text: str, path: str | None = None) -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t.as_py()) for t in batch.column(1)], pa.int64())], names=["id", "n"])
 
-    whole = df.filter(F.length(F.col(f"`{text}`")) > 0).select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{text}`"))
+    whole = df.filter((F.length(F.col(f"`{text}`")) > 0) & F.col(f"`{item_id}`").isNotNull()).select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{text}`"))
     return whole.mapInArrow(run, "id bigint, n bigint")
 
 
@@ -117,7 +117,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK) -> Da
     Rounds are kept in the checkpoint folder, so containers stay what they are when executors go.
     """
     spark = items.sparkSession
-    items = durable(items.filter("n > 0").select(F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n")))
+    items = durable(items.filter("n > 0 and id is not null").select(F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n")))
     cap = F.lit(capacity)
     pieces = items.select("id", F.posexplode(F.expr(f"transform(sequence(0, cast((n - 1) div {capacity} as int)), i -> cast(least({capacity}, n - i * {capacity}) as int))")).alias("piece", "n"))
     member = F.array(F.struct("id", "piece", "n"))
