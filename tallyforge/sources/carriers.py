@@ -13,13 +13,12 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _PARSED = "path string, problem string, ordinal bigint, width int, headers array<string>, cells array<string>"
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, content, sha256) of the files below a folder."""
+    """(path, name, length, content, sha256) of the files below a folder; the reader leaves out files of no bytes."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return read.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content", F.sha2("content", 256).alias("sha256"))
 
@@ -99,23 +98,24 @@ def metrics(content: DataFrame) -> DataFrame:
 def shape_problems(content: DataFrame) -> DataFrame:
     """Delimited files with fewer than two rows or two columns, or rows of unequal width."""
     rows = strict_rows(content)
-    by = rows.groupBy("path").agg(F.count_if(F.col("cells").isNotNull() & (F.size("cells") > 0)).alias("data_rows"), F.max(F.size("headers")).alias("columns"), F.count_if("problem = 'width'").alias("ragged"), F.count_if("problem = 'unreadable'").alias("unreadable"))
+    by = rows.groupBy("path").agg(F.count_if(F.col("cells").isNotNull() & (F.size("cells") > 0)).alias("data_rows"), F.max(F.size("headers")).alias("columns"), F.count_if(F.col("problem") == "width").alias("ragged"), F.count_if(F.col("problem") == "unreadable").alias("unreadable"))
     return by.filter("data_rows < 1 or columns < 2 or ragged > 0 or unreadable > 0")
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.json") -> DataFrame:
-    """Whole-file JSON documents under an explicit schema, with their path; ``_corrupt`` holds what does not fit."""
-    full = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ", 1)
-    typed = T.StructType(schema.fields) if isinstance(schema, T.StructType) else None
-    target = typed.add("_corrupt", "string") if typed is not None else f"{full}, _corrupt string"
-    read = spark.read.schema(target).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return read.json(path).withColumn("path", F.col("_metadata.file_path"))
+def json_documents(spark: SparkSession, folder: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """Whole-file JSON documents under an explicit schema, with their path; ``_corrupt`` holds a text that does not fit."""
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    return _under(texts.select(F.col("_metadata.file_path").alias("path"), "value"), schema)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; other lines keep their text in ``_corrupt``."""
-    read = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return read.json(path)
+    return _under(spark.read.text(path).filter("trim(value) <> ''").select(F.col("_metadata.file_path").alias("path"), "value"), schema)
+
+
+def _under(texts: DataFrame, schema: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return texts.select("path", F.from_json("value", F.lit(f"{schema}, _corrupt string"), options).alias("d")).select("path", "d.*")
 
 
 def not_objects(texts: DataFrame, column: str) -> DataFrame:
