@@ -33,10 +33,10 @@ def canonical_key(key: Column) -> Column:
     return F.upper(F.trim(key))
 
 
-def references(df: DataFrame, ref_table: str, key: Column, day: Column, record: Column) -> DataFrame:
-    """(ref_table, ref_key, day, record_key) of one referring column."""
+def references(df: DataFrame, ref_table: str | Column, key: Column, day: Column, record: Column) -> DataFrame:
+    """(ref_table, ref_key, day, record_key) of one referring column; its table is named or a column."""
     return df.select(
-        F.lit(ref_table).alias("ref_table"), canonical_key(key).alias("ref_key"), day.alias("day"), record.cast("string").alias("record_key")
+        (ref_table if isinstance(ref_table, Column) else F.lit(ref_table)).alias("ref_table"), canonical_key(key).alias("ref_key"), day.alias("day"), record.cast("string").alias("record_key")
     ).filter(F.col("ref_key").isNotNull() & F.col("day").isNotNull())
 
 

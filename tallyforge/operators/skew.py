@@ -38,20 +38,20 @@ def replicated(df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: str = "
     return marked.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("fan"), F.lit(1)) - 1))).drop("fan")
 
 
-def look_up(df: DataFrame, entries: DataFrame, keys: Sequence[str], count: str, how: str = "inner", share: float | None = None) -> DataFrame:
+#: Entries that look_up broadcasts at most.
+HOT_ENTRIES = 4096
+
+
+def look_up(df: DataFrame, entries: DataFrame, keys: Sequence[str], count: str, how: str = "inner", limit: int = HOT_ENTRIES) -> DataFrame:
     """df joined with ``entries`` (one row a key, ``count`` its number of rows in df).
 
-    Entries of hot keys, at most 2 * shuffle partitions, are broadcast; rows of all other keys meet
-    their entries in a shuffled join whose largest key has no more than one part's share of rows.
+    The ``limit`` entries with the most rows are broadcast. Every other key has at most a
+    ``limit``-th of all rows, whatever the data, so the shuffled join of the rest has no hot key.
     Rows with a null key have no entry. ``how``: inner or left.
     """
-    share = share or 1.0 / (2 * width(df.sparkSession))
-    total = entries.agg(F.sum(count).alias("__tf_total"))
-    marked = entries.join(F.broadcast(total)).withColumn("__tf_hot", F.col(count) > F.col("__tf_total") * F.lit(share)).drop("__tf_total")
-    hot = marked.filter("__tf_hot").drop("__tf_hot", count)
-    cold = marked.filter(~F.col("__tf_hot")).drop("__tf_hot", count)
-    flags = F.broadcast(hot.select(*keys).withColumn("__tf_is_hot", F.lit(True)))
-    split = df.join(flags, list(keys), "left")
-    of_hot = split.filter(F.col("__tf_is_hot")).drop("__tf_is_hot").join(F.broadcast(hot), list(keys), "inner")
-    of_cold = split.filter(F.col("__tf_is_hot").isNull()).drop("__tf_is_hot").join(cold, list(keys), how)
+    hot = entries.orderBy(F.col(count).desc(), *keys).limit(limit).drop(count)
+    marked = df.join(F.broadcast(hot.withColumn("__tf_hot", F.lit(True))), list(keys), "left")
+    of_hot = marked.filter(F.col("__tf_hot")).drop("__tf_hot")
+    values = [c for c in entries.columns if c not in keys and c != count]
+    of_cold = marked.filter(F.col("__tf_hot").isNull()).drop("__tf_hot", *values).join(entries.drop(count), list(keys), how)
     return of_hot.unionByName(of_cold)

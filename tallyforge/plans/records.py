@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import compare, malformed, nested, orphans
+from tallyforge.session import durable
 from tallyforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,12 +110,11 @@ ev AS (SELECT profile_seq, template_pos, k, json_extract(json_extract(t, '$.evid
 def _references(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_rows")
     listed = nested.flatten(_profiles(spark, folder, "profile_seq", "recorded_on"), "body", ["profile_seq", "recorded_on"], REFERRING)
-    part = lambda kind, name: orphans.references(listed.filter(F.col("kind") == kind), name, F.col("child_key"), F.col("recorded_on"), F.col("profile_seq"))
-    return (
-        orphans.references(rows, "account_map", F.col("account_code"), F.col("transaction_date"), F.col("source_row_id"))
-        .unionByName(part("blueprint", "blueprints"))
-        .unionByName(part("foundation_card", "foundation_cards"))
-    )
+    target = F.when(F.col("kind") == "blueprint", "blueprints").when(F.col("kind") == "foundation_card", "foundation_cards")
+    named = listed.withColumn("ref_table", target).filter("ref_table is not null")
+    # the profiles are parsed once: their few references are kept for the two passes that read them
+    held = durable(orphans.references(named, F.col("ref_table"), F.col("child_key"), F.col("recorded_on"), F.col("profile_seq")))
+    return orphans.references(rows, "account_map", F.col("account_code"), F.col("transaction_date"), F.col("source_row_id")).unionByName(held)
 
 
 def _parents(spark: SparkSession, folder: str) -> DataFrame:
