@@ -121,26 +121,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK) -> Da
     cap = F.lit(capacity)
     pieces = items.select("id", F.posexplode(F.expr(f"transform(sequence(0, cast((n - 1) div {capacity} as int)), i -> cast(least({capacity}, n - i * {capacity}) as int))")).alias("piece", "n"))
     member = F.array(F.struct("id", "piece", "n"))
-    full = pieces.filter(F.col("n") == cap).select(F.col("n").alias("size"), member.alias("members"))
+    # a container is named by its round and its place among the round's rows, which are kept
+    name = lambda of: F.concat_ws("-", F.lit(of), F.monotonically_increasing_id().cast("string")).alias("container")
+    full = pieces.filter(F.col("n") == cap).select(F.col("n").alias("size"), member.alias("members"), name("full"))
     states = pieces.filter(F.col("n") < cap).select(F.col("n").alias("size"), member.alias("members"))
     done = [full]
     partitions = max(1, min(width(spark), items.count() // 2000 or 1))
     states = states.repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"]))
     allowed = int(capacity * slack)
     while True:
-        out = durable(_round(states, capacity, capacity if partitions == 1 else allowed))
+        out = durable(_round(states, capacity, capacity if partitions == 1 else allowed).select("*", name(f"round{len(done)}")))
         done.append(out.filter("final").drop("final"))
         if partitions == 1:
             break
         partitions = max(1, partitions // FAN_IN)
-        states = out.filter(~F.col("final")).drop("final").repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"], F.element_at("members", 1)["piece"]))
+        states = out.filter(~F.col("final")).drop("final", "container").repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"], F.element_at("members", 1)["piece"]))
     bins = done[0]
     for part in done[1:]:
         bins = bins.unionByName(part)
-    # a container is named by its first member: every piece is in exactly one container
-    first = F.element_at("members", 1)
-    name = F.concat_ws("-", first["id"].cast("string"), first["piece"].cast("string"))
-    return bins.select(name.alias("container"), F.col("size").alias("filled"), F.explode("members").alias("m")).select("m.id", "m.piece", "m.n", "container", "filled")
+    return bins.select("container", F.col("size").alias("filled"), F.explode("members").alias("m")).select("m.id", "m.piece", "m.n", "container", "filled")
 
 
 def quality(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
