@@ -15,7 +15,7 @@ SMALLEST = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 4, "4g", 4)
+    session = local_session("tests", 4, "4g", 2)
     ship(session)
     yield session
     session.stop()
