@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.barrier import once
+
 #: Patterns a valid text matches whole. Java's ``$`` would let a final line break pass, hence ``\z``.
 DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 AMOUNT = r"\A-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"
@@ -110,16 +112,6 @@ def valid_amount(text: Column) -> Column:
     return F.coalesce(text.rlike(AMOUNT), F.lit(False))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once, however often they are used above.
-
-    Filters pushed down would copy the columns' expressions once for each use; nothing is pushed
-    below a generator into what it generates.
-    """
-    made = F.explode_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
-    return df.select("*", made.alias("__tf_made")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__tf_made.{k}").alias(k) for k in columns])
-
-
 def classify(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW, amount_type: str = "decimal(18,2)") -> DataFrame:
     """df with the record's typed columns, ``raw`` (the line) and ``reasons`` (empty: it loads).
 
@@ -132,10 +124,10 @@ def classify(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW, amo
     odd = text.rlike("[\"\r\n\0]")
     commas = F.length(text) - F.length(F.replace(text, F.lit(",")))
     base = df.select(*keep, F.col(f"`{line}`").alias("raw"))
-    read = _once(base, __tf_read=F.when(~odd & (text != "") & (commas < READER_COLUMNS), _permissive(text, fields)))
+    read = once(base, __tf_read=F.when(~odd & (text != "") & (commas < READER_COLUMNS), _permissive(text, fields)))
     loaded = F.col("__tf_read").isNotNull() & F.col("__tf_read._corrupt").isNull()
     quotes = text.contains('"')
-    step = _once(
+    step = once(
         read,
         __tf_fields=F.when(loaded, F.array(*[F.coalesce(F.col(f"__tf_read.`{f.name}`"), F.lit("")) for f in fields]))
         .when(quotes & quoting_broken(text), F.lit(None))
