@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.barrier import once
 from tallyforge.operators import skew
 from tallyforge.session import durable
 
@@ -36,12 +37,29 @@ def canonical(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.upper(value)), r"[^\p{L}\p{N}]+", "")
 
 
-def fields(text: Column, labels: Mapping[str, str] = LABELS) -> dict[str, Column]:
-    """Each field's raw value: what stands between its label and the next label or the end."""
-    any_label = "|".join(labels.values())
+def parsed(df: DataFrame, text: str, labels: Mapping[str, str] = LABELS) -> DataFrame:
+    """df with ``raw``: the fields' values in the labels' order, each what stands between its label and the
+    next label or the end; null where a label is missing. Two passes over a text, whatever the labels.
+    """
+    line = F.col(f"`{text}`")
+    any_label = "(?i)" + "|".join(labels.values())
     # escapes would leave letters behind, so they are undone first; \uXXXX by the JSON reader itself
-    plain = F.when(text.contains("\\"), F.coalesce(F.nullif(_as_pairs(text), F.lit("")), F.regexp_replace(text, r"\\[nrtbf]", " "))).otherwise(text)
-    return {name: F.regexp_extract(plain, rf"(?is)(?:{label})(.*?)(?:{any_label}|\z)", 1) for name, label in labels.items()}
+    undone = F.when(line.contains("\\"), F.coalesce(F.nullif(_as_pairs(line), F.lit("")), F.regexp_replace(line, r"\\[nrtbf]", " "))).otherwise(line)
+
+    def number(label: Column) -> Column:
+        out = F.lit(-1)
+        for i, p in enumerate(labels.values()):
+            out = F.when(label.rlike(f"(?i)^{p}$"), F.lit(i)).otherwise(out)
+        return out
+
+    plain = once(df, __tf_plain=undone)
+    # a cut at one fixed character needs no pattern; the character itself counts for nothing in a value
+    marked = F.regexp_replace(F.translate("__tf_plain", "\1", " "), any_label, "\1")
+    cut = once(plain, __tf_parts=F.split(marked, "\1", -1), __tf_labels=F.regexp_extract_all("__tf_plain", F.lit(any_label), F.lit(0)))
+    placed = once(cut, __tf_order=F.transform("__tf_labels", number))
+    place = lambda i: F.array_position("__tf_order", F.lit(i)).cast("int")
+    raw = F.array(*[F.when(place(i) > 0, F.get("__tf_parts", place(i))) for i in range(len(labels))])
+    return once(placed, raw=raw).drop("__tf_plain", "__tf_parts", "__tf_labels", "__tf_order")
 
 
 def _as_pairs(text: Column) -> Column:
@@ -53,27 +71,32 @@ def _as_pairs(text: Column) -> Column:
 def encoded(df: DataFrame, record_id: str, text: str, labels: Mapping[str, str] = LABELS) -> DataFrame:
     """(id, v0, v1, ...): each record as the integers of its fields, kept in the checkpoint folder.
 
-    Dictionaries are built with map-side counting. Values with a large share of the rows meet their
-    integers by broadcast (their number is bounded, see operators.skew), all others in one shuffle.
+    A raw value is known by 128 bits of its hash, so texts are shuffled once, to make the dictionary
+    (with map-side counting); canonical values likewise. A field whose dictionary is small (counted)
+    is looked up by broadcast; of other fields, the values with the most rows are (a bounded number,
+    see operators.skew), and all others meet their integers in one shuffle.
     """
     line = F.col(f"`{text}`")
-    has_all = None
-    for label in labels.values():
-        hit = line.rlike(f"(?i){label}")
-        has_all = hit if has_all is None else has_all & hit
-    values = fields(line, labels)
-    long = df.filter(has_all & F.col(f"`{record_id}`").isNotNull()).select(
-        F.col(f"`{record_id}`").alias("id"),
-        F.xxhash64(line).alias("h"),
-        F.posexplode(F.array(*values.values())).alias("field", "raw"),
-    )
-    raw = long.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n")).withColumn("canon", canonical(F.col("raw")))
+    whole = df.filter(line.isNotNull() & F.col(f"`{record_id}`").isNotNull()).select(F.col(f"`{record_id}`").alias("id"), line.alias("text"))
+    complete = parsed(whole, "text", labels).filter(F.forall("raw", lambda v: v.isNotNull()))
+    code = lambda c: (F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(2), c))
+    raw = complete.select(F.posexplode("raw").alias("field", "raw"))
+    first, second = code(F.col("raw"))
+    values = raw.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
+    c1, c2 = code(canonical(F.col("raw")))
+    dictionary = durable(values.select("field", first.alias("k1"), second.alias("k2"), "n", c1.alias("c1"), c2.alias("c2")))
     # integers depend on how rows fall into partitions, so they are assigned once and kept
-    integers = durable(raw.select("field", "canon").distinct().withColumn("v", F.monotonically_increasing_id()))
-    entries = raw.join(integers, ["field", "canon"]).drop("canon")
-    placed = skew.look_up(long, entries, ["field", "raw"], "n")
-    pick = [F.max(F.when(F.col("field") == i, F.col("v"))).alias(f"v{i}") for i in range(len(labels))]
-    return durable(placed.groupBy("id", "h").agg(*pick).drop("h"))
+    integers = durable(dictionary.select("field", "c1", "c2").distinct().withColumn("v", F.monotonically_increasing_id()))
+    entries = durable(dictionary.join(integers, ["field", "c1", "c2"]).select("field", "k1", "k2", "n", "v"))
+    sizes = dict(entries.groupBy("field").count().collect())  # one row a field
+    codes = [c.alias(f"{k}_{i}") for i in range(len(labels)) for k, c in zip(("k1", "k2"), code(F.get("raw", F.lit(i))), strict=True)]
+    placed = durable(complete.select("id", *codes))
+    for i in sorted(range(len(labels)), key=lambda i: sizes.get(i, 0)):
+        key = [f"k1_{i}", f"k2_{i}"]
+        mine = entries.filter(F.col("field") == i).select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), "n", F.col("v").alias(f"v{i}"))
+        small = sizes.get(i, 0) <= skew.HOT_ENTRIES
+        placed = (placed.join(F.broadcast(mine.drop("n")), key) if small else skew.look_up(placed, mine, key, "n")).drop(*key)
+    return durable(placed.select("id", *[f"v{i}" for i in range(len(labels))]).distinct())
 
 
 def groups(tuples: DataFrame) -> DataFrame:
