@@ -108,6 +108,7 @@ def layouts(cells: DataFrame, formats: DataFrame) -> DataFrame:
     return counts.groupBy("path", "sheet").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("style", F.coalesce("format_id", F.lit(-1)).alias("format_id"), "n")))), 256).alias("fingerprint"))
 
 
+#: Fixed value: a formula that is empty where the cell it guards is.
 _GUARD = r'(?i)^\s*IF\(\s*(\$?[A-Z]{1,3}\$?\d+)\s*=\s*""\s*,\s*""\s*,'
 
 

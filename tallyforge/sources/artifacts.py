@@ -7,6 +7,7 @@ size: members and rasters beyond a bound are findings, not read.
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import io
 import json
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.scalars import FORMULA_ERRORS, relation_target
+from tallyforge.functions.scalars import FORMULA_ERRORS, REPLY, relation_target
+from tallyforge.sources.carriers import tally
 
 #: Bounds: a member's bytes, archives within archives, a PNG's pixels and its decoded bytes.
 MEMBER_BYTES, NESTING, PNG_PIXELS, PNG_BYTES = 256 << 20, 3, 8_000_000, 64 << 20
@@ -219,22 +221,31 @@ def _docx(data: bytes) -> dict:
         }
 
 
+def _readable(message: email.message.EmailMessage) -> Iterator[str]:
+    """Decoded text of the parts shown to a reader; unknown character sets are read as UTF-8."""
+    stack = [message]
+    while stack:
+        part = stack.pop()
+        if part.is_multipart():
+            stack += reversed(list(part.iter_parts()))
+        elif part.get_content_type().startswith("text/") and not part.is_attachment():
+            raw = part.get_payload(decode=True) or b""
+            try:
+                yield raw.decode(part.get_content_charset("utf-8"), "replace")
+            except LookupError:
+                yield raw.decode("utf-8", "replace")
+
+
 def _mail(data: bytes) -> dict:
     message = email.message_from_bytes(data, policy=email.policy.default)
-    texts = []
-    for part in message.walk():
-        if part.get_content_maintype() == "text" and part.get_content_disposition() != "attachment":
-            try:
-                texts.append(part.get_content())
-            except (LookupError, UnicodeDecodeError):
-                continue
-    body = "\n".join(texts)
+    shown = "\n".join(_readable(message))
+    attached = [(a.get_filename() or "", a.get_content_type(), a.get_payload(decode=True) or b"") for a in message.iter_attachments()]
     return {
-        "subject": str(message.get("Subject", "")),
-        "missing_headers": [h for h in ("From", "To", "Date", "Subject", "Message-ID") if not message.get(h)],
-        "attachments": [{"name": a.get_filename(), "type": a.get_content_type(), "binary": is_binary(a.get_filename() or "", a.get_payload(decode=True) or b"")} for a in message.iter_attachments()],
-        "body_characters": len(body),
-        "reply_markers": len(re.findall(r"(?mi)^(from:|sent:|to:|subject:|on .+ wrote:|>)", body)),
+        "subject": str(message["Subject"] or ""),
+        "missing_headers": [h for h in ("From", "To", "Date", "Subject", "Message-ID") if not message[h]],
+        "attachments": [{"name": n, "type": t, "binary": is_binary(n, raw)} for n, t, raw in attached],
+        "body_characters": len(shown),
+        "reply_markers": len(re.findall(REPLY, shown)),
     }
 
 
@@ -391,10 +402,7 @@ def _text(data: bytes) -> dict:
 
 
 def _csv(data: bytes) -> dict:
-    import csv
-
-    rows = list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline="")))
-    return {"rows": len(rows), "columns_max": max(map(len, rows), default=0), "blank_rows": sum(not any(c.strip() for c in r) for r in rows)}
+    return dict(zip(("rows", "columns_max", "blank_rows"), tally(data), strict=True))
 
 
 INSPECTORS: dict[str, Callable[[bytes], dict]] = {"csv": _csv, "docx": _docx, "eml": _mail, "pdf": _pdf, "png": _png, "txt": _text, "xlsx": _xlsx}

@@ -79,18 +79,25 @@ def named(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return good.select("path", "ordinal", *[F.when(place(c) > 0, F.get("cells", (place(c) - 1).cast("int"))).alias(c) for c in columns])
 
 
+def tally(data: bytes) -> tuple[int, int, int]:
+    """Records, widest record and blank records of delimited bytes; damaged UTF-8 is read past."""
+    n = widest = blank = 0
+    with io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline="") as text:
+        for n, cells in enumerate(csv.reader(text), 1):  # noqa: B007
+            widest = max(widest, len(cells))
+            blank += not "".join(cells).strip()
+    return n, widest, blank
+
+
 def metrics(content: DataFrame) -> DataFrame:
     """(path, rows, max_width, blank_rows): the header counts as a row."""
+    schema = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("max_width", pa.int32()), ("blank_rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = wide = blank = 0
-                for cells in csv.reader(io.StringIO(data.as_py().decode("utf-8-sig", "replace"), newline="")):
-                    n, wide, blank = n + 1, max(wide, len(cells)), blank + (not any(c.strip() for c in cells))
-                out.append({"path": path, "rows": n, "max_width": wide, "blank_rows": blank})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("rows", pa.int64()), ("max_width", pa.int32()), ("blank_rows", pa.int64())]))
+            counted = [tally(data.as_py()) for data in batch.column(1)]
+            columns = zip(*counted, strict=True) if counted else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
 
     return content.select("path", "content").mapInArrow(run, "path string, rows bigint, max_width int, blank_rows bigint")
 
