@@ -2,7 +2,7 @@
 
 Every partition packs its items best-fit, largest first. Containers filled to within ``slack`` of the
 capacity are final; the others go on as items of the next round, which has a fraction of the
-partitions, until one partition is left. An item larger than the capacity is cut into full pieces,
+partitions, until one partition is left or a round joins next to nothing. An item larger than the capacity is cut into full pieces,
 each a container of its own, and a rest that is packed like any item. Nothing else is ever cut.
 
 A container going on carries the list of what it holds: at most ``capacity`` members, since every item
@@ -29,6 +29,8 @@ from tallyforge.session import durable, width
 CAPACITY = 2048
 #: A container with no more than this share of its capacity unused is final before the last round.
 SLACK = 1 / 256
+#: Rounds end when one joins less than this share of the containers it was given.
+STALL = 1 / 500
 #: How many partitions of a round become one of the next, and items best-fit holds at once.
 FAN_IN, CHUNK = 8, 200_000
 
@@ -128,12 +130,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK) -> Da
     done = [full]
     partitions = max(1, min(width(spark), items.count() // 2000 or 1))
     states = states.repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"]))
-    allowed = int(capacity * slack)
+    allowed, before = int(capacity * slack), 0
     while True:
         out = durable(_round(states, capacity, capacity if partitions == 1 else allowed).select("*", name(f"round{len(done)}")))
-        done.append(out.filter("final").drop("final"))
-        if partitions == 1:
+        final, after = out.agg(F.count_if("final"), F.count(F.lit(1))).first()
+        # a round that joins hardly any containers shows that the rest cannot be joined: no further round
+        if partitions == 1 or (before and before - after < STALL * before):
+            done.append(out.drop("final"))
             break
+        done.append(out.filter("final").drop("final"))
+        before = after - final
         partitions = max(1, partitions // FAN_IN)
         states = out.filter(~F.col("final")).drop("final", "container").repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"], F.element_at("members", 1)["piece"]))
     bins = done[0]

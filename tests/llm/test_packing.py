@@ -60,3 +60,14 @@ def test_sizes(spark):
     count = tokens.counter(f"{tokens.FOLDER}/{tokens.VOCABULARY}")
     assert got == {1: 2, 4: count(" \n"), 5: count("x" * 400_000)}
     assert count("don't <|endoftext|> stop") > 4
+
+
+def test_rounds_end_when_nothing_joins(spark, monkeypatch):
+    rounds = []
+    real = packing._round
+    monkeypatch.setattr(packing, "_round", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(packing, "width", lambda _: 64)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    # items above half the capacity: no two fit together
+    bins, _ = packed(spark, [(i, 51 + i % 40, None) for i in range(130_000)])
+    assert len(bins) == 130_000 and len(rounds) == 2
