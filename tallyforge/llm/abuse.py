@@ -13,7 +13,8 @@ Defined results
 ---------------
 * Null texts get a null score and are no cases; empty texts get the score of a text without words.
 * Several labels of a document: their mean decides, an even split drops it. Null labels count nothing.
-* Without labels of both kinds nothing can be learned: a fixed rule over the lists scores instead.
+* Without labels of both kinds nothing can be learned: a fixed rule over the lists scores instead. So it
+  does where the trees' predictions for unseen texts agree with the labels less than the rule's.
 * Equal texts have equal scores; repeated rows give one case. Other columns are ignored; empty tables
   give no rows.
 """
@@ -260,6 +261,11 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
     p = boosting.calibrated(unseen, steps)
     cuts = np.unique(np.round(p, 3))
     best = max((_f1(p >= t, y > 0), t) for t in cuts if t > 0)
+    # few labels may teach the trees less than the lists know by themselves
+    by_rule = _f1(nothing.scores(texts) >= nothing.threshold, y > 0)
+    if by_rule > best[0]:
+        nothing.report["f1"] = by_rule
+        return nothing
     # the threshold lies in the middle of the gap below the best cut
     lower = cuts[cuts < best[1]]
     threshold = float((best[1] + (lower.max() if len(lower) else 0)) / 2)
