@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,9 +29,13 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 3, rate: float = 0.1, bins: int = 48, penalty: float = 2.0, least: float = 3.0) -> Trees:
-    """Logistic loss, second-order gains, histograms of binned features."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 3, rate: float = 0.1, bins: int = 48, penalty: float = 2.0, least: float = 3.0, ways: Sequence[int] | None = None) -> Trees:
+    """Logistic loss, second-order gains, histograms of binned features.
+
+    ways: by feature, 1 if a split may only give more to its larger values, -1 if only less, 0 if either.
+    """
     n, m = x.shape
+    way = np.array(ways if ways is not None else [0] * m)[:, None]
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
     # many features are 0 in most rows: the quantiles of what is above it cut finer
     cuts = [np.unique(np.concatenate([[0.0], c, np.quantile(x[x[:, j] > 0, j], np.linspace(0, 1, 17)[:-1])])) if (x[:, j] > 0).any() else c for j, c in enumerate(cuts)]
@@ -54,6 +59,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 3, rate:
             ga, ha = gs[:, :, -1:], hs[:, :, -1:]
             gain = gs**2 / (hs + penalty) + (ga - gs) ** 2 / (ha - hs + penalty) - ga**2 / (ha + penalty)
             gain[(hs < least) | (ha - hs < least)] = 0
+            rise = gs / (hs + penalty) - (ga - gs) / (ha - hs + penalty)  # of the larger values' part over the other
+            gain[way * rise < 0] = 0
             for k in range(count):
                 j, b = divmod(int(gain[k].argmax()), wide)
                 if gain[k, j, b] > 1e-6 and b < len(cuts[j]):

@@ -8,54 +8,62 @@ from __future__ import annotations
 
 import re
 
-#: Words by category.
+#: Words by category, as general lists of such language have them.
 WORDS = {
     "insult": """
-        idiot idiots moron morons imbecile imbecil stupid dumb dumbass dumbasses fool fools retard retarded cretin halfwit
-        dimwit nitwit loser losers clown clowns pathetic worthless useless brainless gutless spineless weasel pig pigs cow
-        rat rats bastard bastards bitch bitches asshole assholes arsehole prick pricks dick dickhead dickheads dipshit
-        jackass wanker wankers twat twats cunt cunts scumbag scumbags scum slob creep freak freaks whore whores slut sluts
-        ugly fat disgusting greasy miserable lying liar thick joke waste coward lazy incompetent trash garbage
-        idiotisch vollidiot trottel dumm dummkopf arschloch wichser schlampe hurensohn fresse missgeburt schwachkopf depp
-        imbécile imbéciles idiote connard connards connasse salope salaud abruti débile crétin pute enculé ordure
-        imbécil imbéciles idiota idiotas estúpido estúpida inútil puta puto cabrón cabrones gilipollas pendejo tonto mierda
-        basura""",
+        idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass fool fools foolish retard retards
+        retarded cretin cretins halfwit dimwit nitwit dunce simpleton loser losers clown clowns buffoon pathetic worthless
+        useless brainless gutless spineless clueless weasel snake pig pigs swine cow hag rat rats bastard bastards bitch
+        bitches asshole assholes arsehole prick pricks dick dicks dickhead dickheads dipshit jackass wanker wankers twat
+        twats cunt cunts scumbag scumbags scum creep creeps freak freaks whore whores slut sluts skank tramp ugly fat
+        fatso disgusting repulsive revolting greasy filthy vile nasty miserable liar liars lying cheat coward cowards
+        cowardly lazy incompetent ignorant trash garbage crybaby psycho lunatic
+        idiotisch vollidiot idioten trottel dumm dummkopf blöd arsch arschloch wichser schlampe hure hurensohn missgeburt
+        schwachkopf depp spinner versager drecksau
+        imbécile imbéciles idiote idiots connard connards connasse con conne salope salaud abruti débile crétin pute putes
+        enculé ordure bouffon minable
+        imbécil imbéciles idiota idiotas estúpido estúpida inútil puta puto cabrón cabrones gilipollas pendejo tonto tonta
+        zorra maldito asqueroso""",
     "profanity": """
-        fuck fucks fucked fucking fucker fuckers motherfucker shit shits shitty bullshit piss pissed crap hell damn goddamn
-        bloody wtf stfu scheiße scheisse scheiß verdammt verpiss fick ficken merde putain bordel foutre joder coño carajo
-        hostia mouth gueule cállate shut""",
+        fuck fucks fucked fucking fucker fuckers motherfucker shit shits shitty bullshit piss pissed crap crappy hell damn
+        damned goddamn bloody bollocks bugger wtf stfu
+        scheiße scheisse scheiß verdammt verpiss fick ficken kacke fresse
+        merde putain bordel foutre gueule chier joder coño carajo hostia mierda cojones""",
     "sexual": """
-        porn porno nude nudes naked undress undressed lick licking tits boobs breasts nipples blowjob handjob masturbate
-        masturbating masturbation horny sluts slut sex sexy orgasm cum cock cocks pussy anal ass arse penis vagina erotic
-        erection blouse panties bra strip stripping thong hot girls kiss moan spank fetish escort nacktbilder nackt nackte
-        titten geil schwanz muschi blasen nue nues nu seins bite baiser desnuda desnudo desnudas tetas polla coger follar
-        caliente""",
+        porn porno pornography pornographic nude nudes naked topless undress undressed lick licking tits boobs breasts
+        nipples blowjob handjob masturbate masturbating masturbation horny sex sexual sexy orgasm orgasms cum cock cocks
+        pussy anal anus ass arse penis dick vagina erotic erection panties bra lingerie stripper thong kinky fetish bdsm
+        dildo escort hooker prostitute incest xxx
+        nacktbilder nackt nackte titten geil schwanz muschi blasen
+        nue nues nu nus seins bite chatte baiser sucer
+        desnuda desnudo desnudas tetas polla coño coger follar chupar""",
     "violence": """
-        kill killed killing die dies dead death bleed blood hurt smash break beat beaten beating choke strangle stab shoot
-        shot gun knife burn fire drag legs jaw bones neck face punch kick slap rape raped screamed scream jump roof rope
-        hang hanged drown sink wiped erase eradicate exterminate gas lynch deserve disappear miss gone rot house walk park
-        tonight watch back töten umbringen schlagen verrecken weggesperrt tuer crever frapper matar muerte golpear echen
-        dehors""",
+        kill killed killing kills murder murdered die dies died dead death bleed blood bloody hurt harm smash break beat
+        beaten beating choke strangle stab stabbed shoot shot gun knife burn bomb explode punch kick slap hit crush
+        rape raped torture attack hang hanged drown erase eradicate exterminate gas lynch behead execute execution destroy
+        suffer threat threaten revenge
+        töten umbringen schlagen verrecken erschießen sterben crever frapper tuer mourir matar muerte golpear morir""",
     "dehumanise": """
-        vermin disease diseases infected infection parasite parasites subhuman subhumans animals animal cage filthy filth
-        plague cockroach cockroaches rodents inferior savages humans human lock locked nature steal spit steals breed
-        ungeziefer drecksausländer parasiten untermenschen abschaum pack vermine parasites rats sales basura plaga ratas
-        escoria parásitos animales""",
+        vermin disease diseases infected infection infest parasite parasites subhuman subhumans animal animals apes monkeys
+        cage filth plague cockroach cockroaches rodents insects inferior savage savages barbarians leeches cancer scum
+        invaders deport steal
+        ungeziefer parasiten untermenschen abschaum pack vermine parasites plaga ratas escoria parásitos animales""",
     "group": """
-        migrants migrant immigrants immigrant foreigners foreigner refugees refugee women woman gays gay lesbian lesbians
-        queers queer trans disabled cripples old elderly muslims muslim jews jewish jew christians hindus blacks black
-        asians mexicans gypsies gypsy believers goers temple border torvish kelmari people kind race religion tribe those
-        ausländer flüchtlinge juden moslems frauen behinderte schwule zigeuner étrangers étranger immigrés migrants femmes
-        juifs musulmans inmigrantes inmigrante extranjeros mujeres judíos musulmanes gitanos todos alle ces""",
+        migrants migrant immigrants immigrant foreigners foreigner refugees refugee minorities women woman girls men gays
+        gay lesbian lesbians queers queer trans transgender disabled cripples elderly muslims muslim jews jewish jew
+        christians christian catholics hindus buddhists atheists blacks black whites white asians arabs africans mexicans
+        latinos indians chinese gypsies gypsy natives people race races religion religious tribe ethnic
+        ausländer flüchtlinge juden moslems frauen behinderte schwule zigeuner migranten
+        étrangers étranger immigrés migrants réfugiés femmes juifs musulmans noirs arabes
+        inmigrantes inmigrante extranjeros refugiados mujeres judíos musulmanes gitanos negros""",
     "second": """
-        you your yours yourself you're you'd you'll u ur du dich dir dein deine dein euch ihr tu toi te ta ton tes vous
-        votre t'es tú ti tu eres usted vuestra""",
-    "first": "i i'll i'd i'm me my we us our ich mir mich je j'ai moi yo mí mándame schick envoie apruebo",
+        you your yours yourself you're you'd you'll you've u ur du dich dir dein deine ihr euch tu toi te ta ton tes vous
+        votre vos t'es tú ti tus eres usted ustedes vuestra""",
+    "first": "i i'll i'd i'm me my we us our ich mir mich wir je j'ai moi nous yo mí nosotros",
     "benign": """
-        policy policies conduct forbids forbidden prohibits complaint complaints remarks harassment hotline training course
-        glossary definition word words term terms filter filtered report reported reporting quoted log logged wording
-        reviewer network donation education adult grants traps iron short positions export job process server script
-        study article history museum hospital clinic medical research insurance claims kept neutral""",
+        policy policies conduct code forbids forbidden prohibited prohibits complaint complaints harassment hotline
+        training course glossary definition term terms filter filtered report reported reports quoted quote alleged
+        investigation study research article history education medical clinic hospital""",
 }
 
 _CODES = {name: 1 << i for i, name in enumerate(WORDS)}

@@ -86,9 +86,42 @@ def test_in_spark(spark):
 
 
 def test_without_labels(spark):
-    model = abuse.fit([])
-    assert model.trees is None
-    p = model.scores(["You are a stupid worthless idiot, you moron!", "The accrual was posted."])
-    assert p[0] >= model.threshold > p[1]
-    docs = spark.createDataFrame([], "doc_id long, text string, source string")
-    assert abuse.sample(docs, spark.createDataFrame([], "doc_id long, toxic int")) == []
+    for labelled in ([], [("You are a stupid idiot.", 1)], [("The accrual was posted.", 0)] * 5):
+        model = abuse.fit(labelled)
+        assert model.trees is None and np.isnan(model.scores(["You are a stupid worthless idiot, you moron!", ""])).all()
+    docs = spark.createDataFrame([(1, "You idiot.", "s")], "doc_id long, text string, source string")
+    assert [r.score for r in abuse.scored(docs, model, "doc_id").collect()] == [None]
+    assert abuse.sample(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")) == []
+
+
+@pytest.mark.parametrize("n", [8, 30, 120])
+def test_few_labels_still_make_trees(n):
+    model = abuse.fit(corpus(n))
+    assert model.trees is not None and model.trees.feature
+    test = corpus(300, seed=9)
+    p = model.scores([t for t, _ in test])
+    y = np.array([v for _, v in test]) > 0
+    assert p[y].mean() >= p[~y].mean()
+
+
+def test_more_abuse_never_lowers_a_monotone_tree():
+    r = np.random.default_rng(0)
+    x = r.random((500, 2))
+    y = (x[:, 0] + r.normal(0, 0.2, 500) > 0.5).astype(float)
+    trees = boosting.boost(x, y, rounds=40, depth=1, ways=[1, 0])
+    line = np.stack([np.linspace(0, 1, 50), np.full(50, 0.5)], axis=1)
+    assert (np.diff(trees.margin(line)) >= 0).all()
+
+
+def test_held_out_figures_come_from_unseen_folds():
+    got = abuse.held_out(corpus(600))
+    assert got["recall"] > 0.9 and got["precision"] > 0.9 and got["brier"] < 0.1
+
+
+def test_context_tells_harmless_uses_apart():
+    r = random.Random(4)
+    harmless = ["Naked rebar on pallet {} was counted.", "The dead stock on tab {} was written off."]
+    rows = [(f"Line {i}. " + (f"Send me naked photos, you dead fool {i}." if y else r.choice(harmless).format(i)), y) for i in range(400) for y in (i % 2,)]
+    model = abuse.fit(rows)
+    p = model.scores(["Naked rebar on pallet 9 was counted.", "Send me naked photos, you dead fool."])
+    assert p[0] < model.threshold <= p[1]
