@@ -13,7 +13,7 @@ import numpy as np
 BITS = 18
 ORDERS = (1, 2, 3, 4, 5, 6, 8)
 _SIZE = 1 << BITS
-DENSE = 8
+DENSE = 9
 _SEPARATOR, _START, _END = 10, 2, 3
 
 
@@ -53,7 +53,7 @@ def hashed(texts: list[str]) -> Hashed:
 
 def _dense(texts: list[str]) -> np.ndarray:
     """Length, words, shares of capitals, digits and punctuation, and title features: whether the first
-    word begins with its only capital, and whether one word is all there is."""
+    letter is the only capital, the share of words that begin with one, and whether one word is all there is."""
     b = np.frombuffer(("\n".join(f"{t}  " for t in texts) + "\n").encode("utf-8", "replace"), np.uint8)
     ends = np.flatnonzero(b == _SEPARATOR)
     starts = np.append(0, ends[:-1] + 1)
@@ -69,8 +69,11 @@ def _dense(texts: list[str]) -> np.ndarray:
     out[:, 3] = tally(upper) / n
     out[:, 4] = tally(digit) / n
     out[:, 5] = tally(~(upper | lower | digit | space) & (b != _SEPARATOR)) / n
-    out[:, 6] = upper[starts] & lower[np.minimum(starts + 1, len(b) - 1)] if len(texts) else 0
-    out[:, 7] = gaps == 0
+    if len(texts):
+        begins = np.append(True, (space | (b == _SEPARATOR))[:-1])
+        out[:, 6] = upper[starts] & (tally(upper) == 1)
+        out[:, 7] = gaps == 0
+        out[:, 8] = tally(upper & begins) / np.maximum(tally((upper | lower | digit) & begins), 1)
     return out
 
 

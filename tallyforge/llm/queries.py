@@ -50,12 +50,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and cases by field, and the classifier's figures on entities it was not trained on."""
-    rows = table(spark, folder, "source_rows").select("source_row_id", "entity_code", *VALUES)
-    model = residue.fit(rows, VALUES, "entity_code")
-    marked = residue.scored(rows, "source_row_id", VALUES, model)
-    figures = [F.lit(float(model.report.get(k, 0.0))).alias(f"held_out_{k}") for k in ("precision", "recall", "f1")]
-    return marked.groupBy("field").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("score") >= model.threshold).alias("residue")).select("*", *figures)
+    """The rows that remain, as they are."""
+    return residue.clean(table(spark, folder, "source_rows"), VALUES, "entity_code")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Values and cases by field, and the classifier's figures on entities it was not trained on."""
+    return residue.rates(table(spark, folder, "source_rows").select("source_row_id", "entity_code", *VALUES), VALUES, "entity_code")
 
 
 # 7: filling containers
@@ -116,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "p4_collapsed": p4_collapsed,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p6_rates": p6_rates,
     "p7_packing": p7_packing,
     "p7_quality": p7_quality,
     "p8_found": p8_found,

@@ -46,6 +46,34 @@ def test_edges(spark):
     assert got >= {(None, "description"), ("d", "status_code")} and all(x[0] in (None, "d") for x in got)
 
 
+def test_clean_rows_are_the_others_and_rates_count_them(spark):
+    df = table(spark)
+    fields = ("description", "status_code")
+    bad = {r[0] for r in residue.found(df, "source_row_id", fields, "entity_code").collect()}
+    clean = residue.clean(df, fields, "entity_code")
+    assert clean.columns == df.columns
+    rows = clean.collect()
+    assert {r.source_row_id for r in rows} == {f"R{i}" for i in range(1500)} - bad and len(rows) == 1500 - len(bad)
+    rates = {r.field: r for r in residue.rates(df, fields, "entity_code").collect()}
+    assert rates["description"].filled == 1500 and 0 < rates["description"].share < 0.1
+    with pytest.raises(ValueError):
+        residue.scored(df.withColumnRenamed("field", "score_description"), fields, residue.Model(None, 0.5, {}), "score_description")
+
+
+def test_a_value_that_names_its_field_is_a_weak_case(spark):
+    df = spark.createDataFrame([("Status code", "status_code"), ("STATUS_CODE", "status_code"), ("status_code", "description"), ("POSTED", "status_code")], "v string, f string")
+    assert [r.x for r in df.select(residue.weak_label(df.v, df.f).alias("x")).collect()] == [True, True, False, False]
+
+
+def test_wording_no_seed_labels_is_found_by_what_it_shares():
+    r = np.random.default_rng(2)
+    good = [(f"{r.choice(['Freight', 'Audit fee', 'Rent'])} accrual {r.choice(['May', 'June', 'site'])} {i}", False, 0 if i % 10 > 1 else 1 + i % 2) for i in range(600)]
+    names = ("memo", "vendor", "entity", "amount", "period")
+    bad = [(f"{a}{n}{b} accrual {i}", True, 0 if i % 10 > 1 else 1 + i % 2) for i in range(40) for n in names for a, b in (("{{", "}}"), ("[[", "]]"), ("<<", ">>"), ("${", "}"))]
+    assert residue.without_seed([*good, *bad], residue.SEEDS["placeholder"][5]) > 0.9
+    assert residue.without_seed(good, residue.SEEDS["placeholder"][5]) is None
+
+
 def test_linear_model_learns_and_hashes_alike():
     r = np.random.default_rng(1)
     texts = [("bad " if y else "fine ") + "".join(r.choice(list("abcde"), 6)) for y in range(2) for _ in range(200)]
