@@ -10,6 +10,7 @@ strings that are asked for are ever decoded.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,32 @@ for _c, _k in ((b"{", _OPEN), (b"[", _OPEN), (b"}", _CLOSE), (b"]", _CLOSE), (b"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 _QUOTE, _BACKSLASH, _BRACE, _SQUARE = ord('"'), ord("\\"), ord("{"), ord("[")
+_ESCAPED = np.zeros(256, bool)
+_ESCAPED[list(b'"\\/bfnrtu')] = True
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+
+# numbers by a table of states and classes of bytes: 0, other digits, minus, plus, point, exponent, else
+_CLASS = np.full(256, 6, np.int8)
+for _i, _bytes in enumerate((b"0", b"123456789", b"-", b"+", b".", b"eE")):
+    _CLASS[list(_bytes)] = _i
+_START, _MINUS, _ZERO, _WHOLE, _POINT, _PART, _EXP, _SIGN, _POWER, _NO = range(10)
+_NEXT = np.full((10, 7), _NO, np.int8)
+for _from, _steps in {
+    _START: {0: _ZERO, 1: _WHOLE, 2: _MINUS},
+    _MINUS: {0: _ZERO, 1: _WHOLE},
+    _ZERO: {4: _POINT, 5: _EXP},
+    _WHOLE: {0: _WHOLE, 1: _WHOLE, 4: _POINT, 5: _EXP},
+    _POINT: {0: _PART, 1: _PART},
+    _PART: {0: _PART, 1: _PART, 5: _EXP},
+    _EXP: {0: _POWER, 1: _POWER, 2: _SIGN, 3: _SIGN},
+    _SIGN: {0: _POWER, 1: _POWER},
+    _POWER: {0: _POWER, 1: _POWER},
+}.items():
+    for _class, _to in _steps.items():
+        _NEXT[_from, _class] = _to
+_ENDS = np.isin(np.arange(10), (_ZERO, _WHOLE, _PART, _POWER))
+_LONG = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 
 
 @dataclass
@@ -147,6 +174,24 @@ def _after_odd_backslashes(buffer: np.ndarray) -> np.ndarray:
     return at[ends[sizes % 2 == 1]] + 1
 
 
+def _plain_values(buffer: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span is a number, true, false or null, and nothing else."""
+    size = end - start
+    good = np.zeros(len(start), bool)
+    for word in (b"null", b"true", b"false"):
+        at = np.flatnonzero(size == len(word))
+        good[at] |= (buffer[start[at][:, None] + np.arange(len(word))] == np.frombuffer(word, np.uint8)).all(1)
+    left = np.flatnonzero(~good)
+    state = np.zeros(len(left), np.int8)
+    for i in range(min(int(size[left].max(initial=0)), 64)):  # all spans at once, byte by byte
+        on = np.flatnonzero(size[left] > i)
+        state[on] = _NEXT[state[on], _CLASS[buffer[start[left[on]] + i]]]
+    good[left] = _ENDS[state]
+    for i in left[size[left] > 64].tolist():
+        good[i] = _LONG.fullmatch(data, start[i], end[i]) is not None
+    return good
+
+
 def _build(texts: list[bytes], skip: np.ndarray) -> tuple[Index | None, np.ndarray]:
     """The index over the texts not skipped, and which texts turn out malformed."""
     sizes = np.array([0 if s else len(t) for t, s in zip(texts, skip.tolist(), strict=True)], np.int64)
@@ -161,8 +206,16 @@ def _build(texts: list[bytes], skip: np.ndarray) -> tuple[Index | None, np.ndarr
     if len(escaped):
         quotes = quotes[~np.isin(quotes, escaped, assume_unique=True)]
     wrong |= np.bincount(record_of(quotes), minlength=len(texts)) % 2 == 1
+    if len(escaped):  # what a backslash begins must be an escape
+        after = buffer[np.minimum(escaped, len(buffer) - 1)]
+        points = np.flatnonzero(after == ord("u"))
+        valid = _ESCAPED[after]
+        valid[points] = _HEX[buffer[np.minimum(escaped[points][:, None] + np.arange(1, 5), len(buffer) - 1)]].all(1)
+        wrong[record_of(escaped[~valid] - 1)] = True
     if (wrong & ~skip).any():
         return None, wrong
+    control = np.flatnonzero(buffer < 0x20)  # within a string, one must be written as an escape
+    wrong[record_of(control[np.searchsorted(quotes, control) % 2 == 1])] = True
 
     marks = np.flatnonzero(_KIND[buffer])
     marks = marks[np.searchsorted(quotes, marks) % 2 == 0]
@@ -190,6 +243,12 @@ def _build(texts: list[bytes], skip: np.ndarray) -> tuple[Index | None, np.ndarr
     is_array = buffer[container_at] == _SQUARE
 
     filled = np.flatnonzero(~_SPACE[buffer])
+    # nothing but blanks stands before a text's root or after it
+    roots = np.flatnonzero(level[opened] == 1)
+    starts = ends - sizes - 1
+    of_root = record[opened[roots]]
+    wrong[of_root[filled[np.searchsorted(filled, starts[of_root])] != container_at[roots]]] = True
+    wrong[of_root[filled[np.searchsorted(filled, ends[of_root]) - 1] != at[closed[roots]]]] = True
     after = lambda p: filled[np.minimum(np.searchsorted(filled, p), max(len(filled) - 1, 0))]
     before = lambda p: filled[np.maximum(np.searchsorted(filled, p) - 1, 0)] + 1
 
@@ -230,8 +289,8 @@ def _build(texts: list[bytes], skip: np.ndarray) -> tuple[Index | None, np.ndarr
         child = np.where(brackets & (container_at[found] == value_from), found, -1)
         wrong[record[begins[(child >= 0) & (at[closed][child] != value_to - 1)]]] = True
     plain = ~strings & (child < 0)
-    first_char = buffer[np.minimum(value_from, len(buffer) - 1)]
-    wrong[record[begins[plain & ~np.isin(first_char, np.frombuffer(b"-0123456789tfn", np.uint8))]]] = True
+    judged = np.flatnonzero(plain & (value_to > value_from))
+    wrong[record[begins[judged[~_plain_values(buffer, data, value_from[judged], value_to[judged])]]]] = True
     if (wrong & ~skip).any():
         return None, wrong
 
@@ -252,7 +311,7 @@ def index(texts: list[bytes | None]) -> Index:
     """The index of a batch. Malformed texts are flagged in ``bad`` and have no members."""
     filled = [t if t is not None else b"" for t in texts]
     skip = np.array([not t.strip() for t in filled], bool)
-    while True:  # each pass that fails sets the malformed texts aside; there are at most four kinds of failure
+    while True:  # each pass that fails sets the malformed texts aside; no text is set aside twice
         built, wrong = _build(filled, skip)
         if built is not None:
             built.bad = wrong

@@ -77,11 +77,53 @@ def test_malformed_never_hurts_its_neighbours(texts):
     assert all(got[i] == brute(good) for i in range(1, len(bodies), 2))
 
 
-@pytest.mark.parametrize("bad", ["", " ", "{", "}", '{"a"}', '{"a":1,}', "[1,]", '{"a":[1}', '{"a" "b"}', '{"a":"b}', "{}{}", '{"a":x}', '{"a":1 2:3}', "{1:2}"])
+@pytest.mark.parametrize("bad", ["", " ", "{", "}", '{"a"}', '{"a":1,}', "[1,]", '{"a":[1}', '{"a" "b"}', '{"a":"b}', "{}{}", '{"a":x}', '{"a":1 2:3}', "{1:2}", '{"t":[1 2]}', '{"t":[]} garbage', 'garbage {"a":1}', '{"x": nope}', '{"a":12abc}', '{"a":"\x01"}', '{"a":"b\nc"}', '{"a":"\\x"}', '{"a":"\\u12g4"}', '{"a":01}', '{"a":1.}', '{"a":-}', '{"a":.5}', '{"a":+1}', '{"a":1e}', '{"a":nul}', '{"a":nullx}', '{"a":True}', '{"a":NaN}', '{"a":"\\', '"text"', "12", "null", '{"a":1}\x0b', '{"a":' + "1" * 80 + "x}"])
 def test_malformed_is_flagged(bad):
     assert index([bad.encode(), b'{"a": [1, {"b": "c"}]}']).bad.tolist() == [True, False]
 
 
+@pytest.mark.parametrize("good", ['{"a":-0.5e+10}', '{"a":0}', '{"a":[true,false,null,1E5,-1]}', ' \t\r\n{"a" : 10 } \n', '{"a":"\\u00e9\\/\\b"}', '{"a":' + "1" * 80 + ".5}", "[]", "[ ]", "{ }", '{"a":"\\\\"}', '{"\\"":1}'])
+def test_well_formed_is_not_flagged(good):
+    json.loads(good)
+    assert index([good.encode(), b"{", good.encode()]).bad.tolist() == [False, True, False]
+
+
+def strict(text: str) -> bool:
+    """Whether the standard library's parser takes the text for an object or array."""
+
+    def no(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        return isinstance(json.loads(text, parse_constant=no), (dict, list))
+    except ValueError:
+        return False
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(profile, st.integers(0, 400), st.integers(0, 3), st.sampled_from(["", " ", "x", "1", "-", "0", ".", "e", '"', "\\", "{", "}", "[", "]", ",", ":", "\x01", "\n", "null", "u12"])), min_size=1, max_size=6))
+def test_mutated_profiles_are_judged_as_by_a_parser(cases):
+    texts = []
+    for doc, at, cut, put in cases:
+        t = json.dumps(doc)
+        at %= len(t) + 1
+        texts.append(t[:at] + put + t[at + cut :])
+    assert index([t.encode("utf-8", "surrogatepass") for t in texts]).bad.tolist() == [not strict(t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='{}[]":,0.-e1tn\\ \n', max_size=14), min_size=1, max_size=8))
+def test_any_text_is_judged_as_by_a_parser(texts):
+    assert index([t.encode() for t in texts]).bad.tolist() == [not strict(t) for t in texts]
+
+
+def test_a_malformed_record_gives_one_row(spark):
+    bad = ['{"templates":[1 2]}', '{"templates":[{"template_id":"T"}]} x', 'x {"templates":[{"template_id":"T"}]}', '{"templates":[{"template_id":nope}]}', '{"templates":[{"template_id":12a}]}', '{"templates":[{"template_id":"a\x02"}]}']
+    df = spark.createDataFrame(list(enumerate(bad)), "i long, body string")
+    got = [(r.i, r.kind) for r in nested.flatten(df, "body", ["i"], malformed=True).collect()]
+    assert sorted(got) == [(i, "malformed") for i in range(len(bad))]
+
+
 def test_repeated_field_counts_once_with_its_last_value():
     assert rows(['{"templates": {"template_id": "x", "template_id": "y", "evidence": {"a": {"sha256": "1"}, "a": {"sha256": "2"}}}}']) == [{(0, "template", 0, "y"), (0, "evidence.a", 0, "2")}]
 
