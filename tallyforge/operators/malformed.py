@@ -9,8 +9,9 @@ Defined results
 * A null line is a record of no text: reason ``column_count`` (it has no fields).
 * An empty line is one field: ``column_count``.
 * Very long lines and any number of commas are handled; nothing is cut.
-* Amounts that are valid but do not fit the amount type are loaded with a null amount; their text
-  stays in ``raw``.
+* An amount that is valid but that the amount type cannot hold exactly (too many digits before or after
+  the point, zeros aside) is never rounded: its typed column is null and its text stands in the column
+  named after it with ``_text``, which is null for all other rows.
 * Lines are taken as rows of their own: repeated lines give repeated results.
 * Columns of the input other than the line's are carried along; where their names clash with the
   record's, the input's come out with the prefix ``in_``.
@@ -18,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -112,12 +114,19 @@ def valid_amount(text: Column) -> Column:
     return F.coalesce(text.rlike(AMOUNT), F.lit(False))
 
 
+def fits(text: Column, amount_type: str) -> Column:
+    """Whether a valid amount's number is held exactly by decimal(precision,scale)."""
+    precision, scale = (int(x) for x in re.findall(r"\d+", amount_type))
+    return text.rlike(rf"\A-?0*[0-9]{{0,{precision - scale}}}(?:\.[0-9]{{0,{scale}}}0*)?\z")
+
+
 def classify(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW, amount_type: str = "decimal(18,2)") -> DataFrame:
     """df with the record's typed columns, ``raw`` (the line) and ``reasons`` (empty: it loads).
 
     One pass without a shuffle; rows with reasons have null in all typed columns.
     """
-    names = {f.name for f in fields} | {"raw", "reasons"}
+    amounts = [f.name for f in fields if f.kind == "amount"]
+    names = {f.name for f in fields} | {f"{a}_text" for a in amounts} | {"raw", "reasons"}
     keep = [F.col(f"`{c}`").alias(f"in_{c}" if c in names else c) for c in df.columns if c != line]
     text = F.col("raw")
     # the reader is lenient about quotes and stops at a line break: such records are looked at anew
@@ -150,20 +159,22 @@ def classify(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW, amo
     types = {"string": "string", "date": "date", "amount": amount_type}
     good = F.size("reasons") == 0
     outer = [*base.columns[:-1], "raw"]
+    held = lambda f: good & fits(value[f.name], amount_type) if f.kind == "amount" else good
     return step.select(
         *[F.col(f"`{c}`") for c in outer],
         "reasons",
-        *[F.when(good, value[f.name].try_cast(types[f.kind])).alias(f.name) for f in fields],
+        *[F.when(held(f), value[f.name].try_cast(types[f.kind])).alias(f.name) for f in fields],
+        *[F.when(good & ~fits(value[a], amount_type), value[a]).alias(f"{a}_text") for a in amounts],
     )
 
 
 def rejected(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW) -> DataFrame:
     """One row for each line and reason; the other columns of df and ``raw`` are carried."""
     done = classify(df, line, fields)
-    keep = [c for c in done.columns if c != "reasons" and c not in {f.name for f in fields}]
+    keep = done.columns[: done.columns.index("reasons")]
     return done.select(*[F.col(f"`{c}`") for c in keep], F.explode_outer("reasons").alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def loaded(df: DataFrame, line: str, fields: Sequence[Field] = SOURCE_ROW) -> DataFrame:
-    """The typed rows of the lines that load."""
+    """The typed rows of the lines that load, with the texts of amounts that their type cannot hold."""
     return classify(df, line, fields).filter(F.size("reasons") == 0).drop("reasons", "raw")

@@ -37,6 +37,7 @@ def p1_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("debit", F.col("debit").cast("double")).withColumn("credit", F.col("credit").cast("double"))
 
 
+_FITS = "regexp_full_match({}, '-?0*[0-9]{{0,16}}([.][0-9]{{0,2}}0*)?')"
 _BARE = r'"(?:[^"]|"")*"|[^",]*'
 
 
@@ -192,7 +193,9 @@ _LINK = "profile_seq, template_pos, pos AS child_pos"
 SQL = {
     "p1_found": f"WITH {_LINES} SELECT DISTINCT line_id, reason FROM reasons",
     "p1_loaded": f"""WITH {_LINES} SELECT line_id, {_nth(0)} AS source_row_id, {_nth(1)} AS entity_code, {_nth(2)} AS account_code, d::DATE AS transaction_date,
-      {_nth(4)} AS description, dr::DECIMAL(18,2)::DOUBLE AS debit, cr::DECIMAL(18,2)::DOUBLE AS credit, {_nth(7)} AS status_code FROM judged WHERE d_ok AND dr_ok AND cr_ok""",
+      {_nth(4)} AS description, {_nth(7)} AS status_code,
+      CASE WHEN {_FITS.format("dr")} THEN dr::DECIMAL(18,2)::DOUBLE END AS debit, CASE WHEN NOT {_FITS.format("dr")} THEN dr END AS debit_text,
+      CASE WHEN {_FITS.format("cr")} THEN cr::DECIMAL(18,2)::DOUBLE END AS credit, CASE WHEN NOT {_FITS.format("cr")} THEN cr END AS credit_text FROM judged WHERE d_ok AND dr_ok AND cr_ok""",
     "p1_rejected_by_file": f"WITH {_LINES} SELECT file_name, reason, count(*) AS n FROM reasons GROUP BY ALL",
     "p2_found": f"""WITH {_JSON}, found AS (
       SELECT profile_seq, template_pos, 'foundation_card' AS kind, pos AS child_pos, {_CHILD.format("card_id")} AS child_key FROM cards

@@ -4,6 +4,7 @@ import csv
 import io
 import re
 from datetime import date
+from decimal import Context, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -112,6 +113,20 @@ def test_any_lines(spark, lines):
     assert reasons(spark, lines) == [brute(x) for x in lines]
 
 
+def test_no_amount_turns_into_another(spark):
+    amounts = ["1.20", "1.2000", "1.239", "-.5", "5.", "0" * 40 + "7.10", "1" * 16 + ".99", "1" * 17, "-" + "9" * 45, ".001", "-0", "0.000"]
+    lines = [(i, f"R,E,A,2024-01-01,t,{a},1,POSTED", "x") for i, a in enumerate(amounts)]
+    rows = {r.line_id: r for r in malformed.loaded(spark.createDataFrame(lines, "line_id long, raw_line string, debit_text string"), "raw_line").collect()}
+    for i, a in enumerate(amounts):
+        exact = Decimal(a)
+        cents = exact.quantize(Decimal("0.01"), context=Context(prec=60))
+        assert rows[i].credit_text is None and rows[i].in_debit_text == "x"
+        if cents == exact and abs(exact) < 10**16:
+            assert rows[i].debit == exact and rows[i].debit_text is None
+        else:
+            assert rows[i].debit is None and rows[i].debit_text == a
+
+
 def test_loaded_values_equal_a_strict_parser(spark):
     lines = [x for x in CASES if x is not None and not brute(x) and "\0" not in x and len(x) < 1000 and "a\nb,1" not in x]
     df = spark.createDataFrame(list(enumerate(lines)), "line_id long, raw_line string")
