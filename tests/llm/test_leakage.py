@@ -68,7 +68,28 @@ def test_proximity(spark):
     assert got == {(1, "proximity"), (3, "phrase")}
 
 
-def test_items_must_be_bounded(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_CHARS", 10)
-    with pytest.raises(ValueError, match="in blocks"):
-        found(spark, [(1, "a")], [(1, "b" * 11)])
+@pytest.mark.parametrize("proximity", [False, True])
+def test_items_in_blocks_give_what_one_block_gives(spark, monkeypatch, proximity):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(9)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.randrange(3, 30))) for i in range(60)]
+    items += [(100 + i, items[0][1]) for i in range(20)]  # copies of one item
+    docs = [(i, text(r.randrange(10, 80)) + " " + r.choice(items)[1]) for i in range(80)]
+    whole = {tuple(x) for x in found(spark, docs, items, 6, proximity=proximity)}
+    assert {(x[0], x[1]) for x in whole if x[2] == "phrase"} == brute(docs, items, 6)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(leakage, "TOGETHER", 50)
+    assert {tuple(x) for x in found(spark, docs, items, 6, proximity=proximity)} == whole
+
+
+def test_a_filter_that_lets_everything_pass_changes_nothing(spark, monkeypatch):
+    item = " ".join(f"t{i}" for i in range(13))
+    monkeypatch.setattr(leakage, "term_filter", lambda _: b"\xff" * (1 << leakage.FILTER_BITS >> 3))
+    assert [(x.doc_id, x.windows) for x in found(spark, [(1, "so " + item), (2, "so")], [(5, item)])] == [(1, 1)]
+
+
+def test_proximity_needs_one_document(spark):
+    assert found(spark, [(1, "alpha beta"), (2, "gamma delta")], [(1, "alpha beta gamma delta")], 4, proximity=True) == []
+    got = found(spark, [(1, "delta x alpha"), (2, "gamma beta x alpha delta")], [(1, "alpha beta gamma delta")], 4, proximity=True)
+    assert [(x.doc_id, x.kind) for x in got] == [(2, "proximity")]
