@@ -2,9 +2,15 @@
 
 Every partition packs its items best-fit, largest first. Containers filled to within ``slack`` of the
 capacity are final; the others go on as items of the next round, which has a fraction of the
-partitions, until one partition is left or a round joins next to nothing. An item larger than the capacity is cut into full pieces,
+partitions, until one partition is left. An item larger than the capacity is cut into full pieces,
 each a container of its own, and a rest that is packed like any item. Nothing else is ever cut.
 
+What goes on is bounded without loss. Two containers above half the capacity never fit together, so
+each joint container holds at most one of them and at least one of the k that are not above half; of
+those above half, the k smallest can take part wherever others could, and all others are final. A
+partition leaves at most one container not above half (best-fit would have joined two), so a round
+passes on at most twice as many containers as it had parts, and the last partition is small.
+
 A container going on carries the list of what it holds: at most ``capacity`` members, since every item
 has at least one token.
 
@@ -29,8 +35,6 @@ from tallyforge.session import durable, width
 CAPACITY = 2048
 #: A container with no more than this share of its capacity unused is final before the last round.
 SLACK = 1 / 256
-#: Rounds end when one joins less than this share of the containers it was given.
-STALL = 1 / 500
 #: How many partitions of a round become one of the next, and items best-fit holds at once.
 FAN_IN, CHUNK = 8, 200_000
 
@@ -113,6 +117,31 @@ def _round(states: DataFrame, capacity: int, allowed: int) -> DataFrame:
     return states.select("size", "members").mapInArrow(run, f"final boolean, {_STATE}")
 
 
+def _joinable(left: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Of the containers left, those that can still be joined with others (see above), and how many.
+
+    Read off how many there are of each size, which is at most ``capacity`` numbers.
+    """
+    by_size = sorted((r["size"], r["count"]) for r in left.groupBy("size").count().collect())
+    small = [(s, n) for s, n in by_size if 2 * s <= capacity]
+    k, smallest = sum(n for _, n in small), small[0][0] if small else 0
+    if not k or (k == 1 and all(s + smallest > capacity for s, _ in by_size if (s, 1) != small[0])):
+        return left.limit(0), 0
+    most, free = k, 0  # containers above half: all below size ``most``, and ``free`` of that size
+    taken = 0
+    for s, n in by_size:
+        if 2 * s <= capacity or s + smallest > capacity:
+            continue
+        if taken + n > k:
+            most, free = s, k - taken
+            taken = k
+            break
+        taken, most, free = taken + n, s + 1, 0
+    whole = left.filter((2 * F.col("size") <= capacity) | (F.col("size") < (most if taken else 0)))
+    tied = left.filter((2 * F.col("size") > capacity) & (F.col("size") == most)).orderBy("container").limit(free) if free else None
+    return (whole.unionByName(tied) if tied is not None else whole), k + taken
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
     """(id, piece, n, container, filled) from items (id, n): piece is 0 unless the item was cut.
 
@@ -130,18 +159,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK) -> Da
     done = [full]
     partitions = max(1, min(width(spark), items.count() // 2000 or 1))
     states = states.repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"]))
-    allowed, before = int(capacity * slack), 0
+    allowed = int(capacity * slack)
     while True:
         out = durable(_round(states, capacity, capacity if partitions == 1 else allowed).select("*", name(f"round{len(done)}")))
-        final, after = out.agg(F.count_if("final"), F.count(F.lit(1))).first()
-        # a round that joins hardly any containers shows that the rest cannot be joined: no further round
-        if partitions == 1 or (before and before - after < STALL * before):
-            done.append(out.drop("final"))
-            break
+        left = out.filter(~F.col("final"))
+        kept, n = _joinable(left, capacity)
         done.append(out.filter("final").drop("final"))
-        before = after - final
-        partitions = max(1, partitions // FAN_IN)
-        states = out.filter(~F.col("final")).drop("final", "container").repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"], F.element_at("members", 1)["piece"]))
+        if not n:
+            done.append(left.drop("final"))
+            break
+        kept = durable(kept)
+        done.append(left.join(kept.select("container"), "container", "left_anti").select("size", "members", "container"))
+        # few containers meet at once; many over a tree
+        partitions = max(1, min(partitions // FAN_IN, n // 1000))
+        states = kept.select("size", "members").repartition(partitions, F.xxhash64(F.element_at("members", 1)["id"], F.element_at("members", 1)["piece"]))
     bins = done[0]
     for part in done[1:]:
         bins = bins.unionByName(part)

@@ -70,4 +70,35 @@ def test_rounds_end_when_nothing_joins(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
     # items above half the capacity: no two fit together
     bins, _ = packed(spark, [(i, 51 + i % 40, None) for i in range(130_000)])
-    assert len(bins) == 130_000 and len(rounds) == 2
+    assert len(bins) == 130_000 and len(rounds) == 1
+
+
+def test_the_few_that_fit_are_joined_and_no_more_go_on(spark, monkeypatch):
+    seen = []
+    real = packing._joinable
+    monkeypatch.setattr(packing, "_joinable", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(packing, "width", lambda _: 16)
+    # all of 55 could take one of 45; there are far more of them
+    bins, _ = packed(spark, [(i, 55, None) for i in range(40_000)] + [(100_000 + i, 45, None) for i in range(40)])
+    assert len(bins) == 40_000
+    assert all(n <= 2 * 40 and kept.count() == n for kept, n in seen)
+
+
+@pytest.mark.parametrize(("sizes", "want"), [([], 0), ([60, 70], 0), ([30, 80], 0), ([30, 70], 2), ([30, 40], 2), ([30, 60, 61, 62], 2), ([10, 20, 60, 60, 60, 70], 4), ([50, 50], 2), ([40], 0), ([5, 96], 0)])
+def test_what_goes_on(spark, sizes, want):
+    left = spark.createDataFrame([(s, [], f"c{i}") for i, s in enumerate(sizes)], "size int, members array<int>, container string")
+    kept, n = packing._joinable(left, 100)
+    assert n == want == kept.count()
+    big = sorted(s for s in sizes if s > 50 and s + min(sizes) <= 100)
+    if want:
+        assert sorted(r["size"] for r in kept.collect() if r["size"] > 50) == big[: want - sum(s <= 50 for s in sizes)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_lose_nothing_that_joining_could_gain(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(packing, "width", lambda _: 8)
+    items = [(i, r.choice([r.randrange(51, 90), r.randrange(1, 50)]), None) for i in range(17_000)]
+    bins, _ = packed(spark, items)
+    totals = sorted(bins.values())
+    assert totals[0] + totals[1] > 100 - 100 * packing.SLACK
