@@ -71,6 +71,29 @@ def p7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return packing.quality(packing.pack(packing.sizes(table(spark, folder, "documents"), "doc_id", "text")))
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: each text placed once and whole, containers as full as they say, within capacity."""
+    cap = packing.CAPACITY
+    packed = p7_packing(spark, folder).withColumn("tokens", F.col("tokens").cast("bigint"))
+    # a document has few pieces for its tokens and a container at most as many as tokens: both counted map-side
+    of_document = packed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"), F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("tokens").alias("size")
+    )
+    documents = of_document.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if((F.col("pieces") != F.col("places")) | (F.col("first") != 0) | (F.col("last") != F.col("pieces") - 1)).alias("repeated"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("size") / cap)).alias("needless_cuts"),
+    )
+    of_container = packed.groupBy("container").agg(F.sum("tokens").alias("held"), F.min("filled").alias("low"), F.max("filled").alias("high"))
+    containers = of_container.agg(
+        F.count_if(F.col("held") > cap).alias("overfull"),
+        F.count_if((F.col("low") != F.col("held")) | (F.col("high") != F.col("held"))).alias("misstated"),
+        # at most one container that is not above half full: any two such would have been joined
+        F.greatest(F.count_if(2 * F.col("held") <= cap) - 1, F.lit(0)).cast("bigint").alias("joinable"),
+    )
+    return documents.join(F.broadcast(containers))
+
+
 # 8: leaked evaluation texts
 
 
@@ -79,6 +102,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p8_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document and item, how many of the item's windows are in it, and where the first stands."""
+    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id", F.col("windows").cast("bigint").alias("windows"), F.col("first_word").cast("bigint").alias("first_word"))
+
+
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents each leaked item is in, with its suite."""
     items = table(spark, folder, "eval_items").select("item_id", "suite").distinct()
@@ -112,6 +141,18 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(scored.withColumn("flagged", F.col("score") >= model.threshold))
 
 
+def _windows(table: str, key: str) -> str:
+    """Every run of 13 words of each text, with its place."""
+    n = leakage.WINDOW
+    return f"""SELECT {key}, unnest(range(len(ws) - {n - 1})) AS at, array_to_string(ws[unnest(range(len(ws) - {n - 1})) + 1 : unnest(range(len(ws) - {n - 1})) + {n}], ' ') AS run
+    FROM (SELECT DISTINCT {key}, regexp_extract_all(lower(upper(text)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table} WHERE text IS NOT NULL) WHERE len(ws) >= {n}"""
+
+
+_LEAKS = f"""
+d AS ({_windows("documents", "doc_id")}), i AS ({_windows("eval_items", "item_id")}),
+leak AS (SELECT doc_id, item_id, count(DISTINCT i.at) AS windows, min(d.at) AS first_word FROM d JOIN i USING (run) GROUP BY ALL)
+"""
+
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
@@ -120,8 +161,10 @@ QUERIES: dict[str, Query] = {
     "p6_rates": p6_rates,
     "p7_packing": p7_packing,
     "p7_quality": p7_quality,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p8_phrases": p8_phrases,
     "p8_matches": p8_matches,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
@@ -131,4 +174,9 @@ QUERIES: dict[str, Query] = {
 SQL = {
     "p4_found": f"WITH {_SAME} SELECT keep_id, capture_id AS copy_id FROM v JOIN g USING (v0, v1, v2) WHERE capture_id > keep_id",
     "p4_collapsed": f"WITH {_SAME} SELECT keep_id, copies FROM g",
+    # sizes are a tokenizer's, which SQL does not have; what must hold of any packing it can say
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS repeated, 0 AS needless_cuts, 0 AS overfull, 0 AS misstated, 0 AS joinable FROM documents WHERE length(text) > 0",
+    "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leak",
+    "p8_items": f"WITH {_LEAKS} SELECT item_id, suite, count(*) AS documents FROM leak JOIN (SELECT DISTINCT item_id, suite FROM eval_items) USING (item_id) GROUP BY ALL",
+    "p8_phrases": f"WITH {_LEAKS} SELECT * FROM leak",
 }
