@@ -1,8 +1,11 @@
 """Records that are the same but for formatting, by dictionary encoding.
 
-Each field's distinct raw values are canonicalised once (letters and digits only, without case) and
-every distinct canonical value gets an integer. Records become tuples of the integers of their fields
-in a fixed field order, whatever order they were written in, and the tuples are grouped.
+Each field has a dictionary: every distinct raw value a task meets is canonicalised once (letters and
+digits only, without case) and gets an integer identifier. Identifiers are made from the canonical
+value (64 bits of hash), so all tasks give a value the same integer without exchanging dictionaries, and
+no value's text is ever shuffled. Records become tuples of the integers of their fields in a fixed field
+order, whatever order they were written in, with one more integer from a second hash of every field,
+so that 128 bits keep different records apart; the tuples are grouped.
 
 Defined results
 ---------------
@@ -15,12 +18,18 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.barrier import once
 from tallyforge.operators import skew
 from tallyforge.session import durable
 
@@ -30,83 +39,163 @@ LABELS: Mapping[str, str] = {
     "account_code": r"account[\s_\-]*code",
     "description": r"description",
 }
-
-
-def canonical(value: Column) -> Column:
-    """Letters and digits in order, case folded (upper first: it also folds letters that lower alone keeps)."""
-    return F.regexp_replace(F.lower(F.upper(value)), r"[^\p{L}\p{N}]+", "")
-
-
-def parsed(df: DataFrame, text: str, labels: Mapping[str, str] = LABELS) -> DataFrame:
-    """df with ``raw``: the fields' values in the labels' order, each what stands between its label and the
-    next label or the end; null where a label is missing. Two passes over a text, whatever the labels.
+#: Entries of a task's dictionary of one field; beyond it the task starts a new one.
+ENTRIES = 500_000
+#: Groups of copies that are broadcast (40 bytes each); more meet their records in a shuffle.
+BROADCAST_GROUPS = 200_000
+
+_OTHER = re.compile(r"[^a-z0-9]+")
+_ESCAPE = re.compile(r"\\[nrtbf]")
+
+
+def canonical(value: str) -> str:
+    """Letters and digits in order, case folded (upper first: it also folds letters that folding alone keeps)."""
+    if value.isascii():
+        return _OTHER.sub("", value.lower())
+    return "".join(c for c in value.upper().casefold() if unicodedata.category(c)[0] in "LN")
+
+
+class _Dictionary(dict):
+    """Raw values of one field, each with its integer; ``check`` has the second hash."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.check: dict[str, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        plain = canonical(raw).encode()
+        if len(self) >= ENTRIES:
+            self.clear()
+            self.check.clear()
+        self[raw] = v = xxhash.xxh3_64_intdigest(plain)
+        self.check[raw] = xxhash.xxh64_intdigest(plain, 11)
+        return v
+
+    def encode(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The integers of values, and their second hashes."""
+        if len(self) + len(raw) > ENTRIES:  # so that none is forgotten between the two reads
+            self.clear()
+            self.check.clear()
+        v = np.fromiter(map(self.__getitem__, raw), np.uint64, len(raw))
+        return v, np.fromiter(map(self.check.__getitem__, raw), np.uint64, len(raw))
+
+
+def reader(labels: Mapping[str, str]) -> Callable[[str], list[str] | None]:
+    """A function from a record's text to its raw values in the labels' order, each what stands between its
+    label and the next label or the end; None where a label is missing. Of a repeated label the first counts.
     """
-    line = F.col(f"`{text}`")
-    any_label = "(?i)" + "|".join(labels.values())
-    # escapes would leave letters behind, so they are undone first; \uXXXX by the JSON reader itself
-    undone = F.when(line.contains("\\"), F.coalesce(F.nullif(_as_pairs(line), F.lit("")), F.regexp_replace(line, r"\\[nrtbf]", " "))).otherwise(line)
-
-    def number(label: Column) -> Column:
-        out = F.lit(-1)
-        for i, p in enumerate(labels.values()):
-            out = F.when(label.rlike(f"(?i)^{p}$"), F.lit(i)).otherwise(out)
-        return out
-
-    plain = once(df, __tf_plain=undone)
-    # a cut at one fixed character needs no pattern; the character itself counts for nothing in a value
-    marked = F.regexp_replace(F.translate("__tf_plain", "\1", " "), any_label, "\1")
-    cut = once(plain, __tf_parts=F.split(marked, "\1", -1), __tf_labels=F.regexp_extract_all("__tf_plain", F.lit(any_label), F.lit(0)))
-    placed = once(cut, __tf_order=F.transform("__tf_labels", number))
-    place = lambda i: F.array_position("__tf_order", F.lit(i)).cast("int")
-    raw = F.array(*[F.when(place(i) > 0, F.get("__tf_parts", place(i))) for i in range(len(labels))])
-    return once(placed, raw=raw).drop("__tf_plain", "__tf_parts", "__tf_labels", "__tf_order")
-
-
-def _as_pairs(text: Column) -> Column:
-    """A JSON object as ``name: value | ...``; null where the text is no object."""
-    pairs = F.map_entries(F.from_json(text, F.lit("map<string,string>")))
-    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(": ", p["key"], p["value"])), " | ")
+    cut = re.compile("|".join(f"({p})" for p in labels.values()), re.I | re.A).split
+    n = len(labels)
+    step = n + 1
+
+    def read(text: str) -> list[str] | None:
+        if "\\" in text:
+            text = _undone(text)
+        parts = cut(text)
+        if len(parts) < step * n + 1:  # fewer labels than there must be
+            return None
+        out: list = [None] * n
+        for i in range(1, len(parts), step):
+            for k in range(n):
+                if parts[i + k] is not None:
+                    if out[k] is None:
+                        out[k] = parts[i + n]
+                    break
+        return None if None in out else out
+
+    return read
+
+
+def _undone(text: str) -> str:
+    """A record written with escapes: a JSON object as its pairs, any other text without its escapes' letters."""
+    try:
+        pairs = json.loads(text, strict=False)
+    except ValueError:
+        pairs = None
+    if not isinstance(pairs, dict) or not pairs:
+        return _ESCAPE.sub(" ", text)
+    shown = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
+    return " | ".join(f"{k}: {shown(v)}" for k, v in pairs.items())
+
+
+def _complete(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    line, number = F.col(f"`{text}`"), F.col(f"`{record_id}`")
+    return df.filter(line.isNotNull() & number.isNotNull()).select(number.cast("bigint").alias("id"), line.alias("text"))
 
 
 def encoded(df: DataFrame, record_id: str, text: str, labels: Mapping[str, str] = LABELS) -> DataFrame:
-    """(id, v0, v1, ...): each record as the integers of its fields, kept in the checkpoint folder.
-
-    A raw value is known by 128 bits of its hash, so texts are shuffled once, to make the dictionary
-    (with map-side counting); canonical values likewise. A field whose dictionary is small (counted)
-    is looked up by broadcast; of other fields, the values with the most rows are (a bounded number,
-    see operators.skew), and all others meet their integers in one shuffle.
+    """(id, v0, v1, ..., v): each record as the integers of its fields and their common check, kept in the
+    checkpoint folder. One pass, without a shuffle."""
+    names = [*[f"v{i}" for i in range(len(labels))], "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader(labels)
+        known = [_Dictionary() for _ in labels]
+        for batch in batches:
+            raw = list(map(read, batch.column(1).to_pylist()))
+            whole = np.fromiter((r is not None for r in raw), bool, len(raw))
+            columns = list(zip(*[r for r in raw if r is not None], strict=True)) or [()] * len(labels)
+            check = np.zeros(int(whole.sum()), np.uint64)
+            out = []
+            for field, values in zip(known, columns, strict=True):
+                v, second = field.encode(list(values))
+                out.append(v.view(np.int64))
+                check = (check ^ second) * np.uint64(0x9E3779B97F4A7C15) + (check >> np.uint64(29))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), *map(pa.array, out), pa.array(check.view(np.int64))], names=["id", *names])
+
+    return durable(_complete(df, record_id, text).mapInArrow(run, "id bigint, " + ", ".join(f"{n} bigint" for n in names)))
+
+
+def dictionary(df: DataFrame, record_id: str, text: str, labels: Mapping[str, str] = LABELS) -> DataFrame:
+    """(field, v, value, spellings, records): the fields' dictionaries, one row for each canonical value.
+
+    Tasks count within their own dictionaries before anything is shuffled; spellings are raw values.
     """
-    line = F.col(f"`{text}`")
-    whole = df.filter(line.isNotNull() & F.col(f"`{record_id}`").isNotNull()).select(F.col(f"`{record_id}`").alias("id"), line.alias("text"))
-    complete = parsed(whole, "text", labels).filter(F.forall("raw", lambda v: v.isNotNull()))
-    code = lambda c: (F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(2), c))
-    raw = complete.select(F.posexplode("raw").alias("field", "raw"))
-    first, second = code(F.col("raw"))
-    values = raw.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
-    c1, c2 = code(canonical(F.col("raw")))
-    dictionary = durable(values.select("field", first.alias("k1"), second.alias("k2"), "n", c1.alias("c1"), c2.alias("c2")))
-    # integers depend on how rows fall into partitions, so they are assigned once and kept
-    integers = durable(dictionary.select("field", "c1", "c2").distinct().withColumn("v", F.monotonically_increasing_id()))
-    entries = durable(dictionary.join(integers, ["field", "c1", "c2"]).select("field", "k1", "k2", "n", "v"))
-    sizes = dict(entries.groupBy("field").count().collect())  # one row a field
-    codes = [c.alias(f"{k}_{i}") for i in range(len(labels)) for k, c in zip(("k1", "k2"), code(F.get("raw", F.lit(i))), strict=True)]
-    placed = durable(complete.select("id", *codes))
-    for i in sorted(range(len(labels)), key=lambda i: sizes.get(i, 0)):
-        key = [f"k1_{i}", f"k2_{i}"]
-        mine = entries.filter(F.col("field") == i).select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), "n", F.col("v").alias(f"v{i}"))
-        small = sizes.get(i, 0) <= skew.HOT_ENTRIES
-        placed = (placed.join(F.broadcast(mine.drop("n")), key) if small else skew.look_up(placed, mine, key, "n")).drop(*key)
-    return durable(placed.select("id", *[f"v{i}" for i in range(len(labels))]).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader(labels)
+        counts = [Counter() for _ in labels]
+
+        def entries() -> pa.RecordBatch:
+            rows = [(f, raw, n) for f, c in zip(labels, counts, strict=True) for raw, n in c.items()]
+            plain = [canonical(raw) for _, raw, _ in rows]
+            v = np.fromiter((xxhash.xxh3_64_intdigest(p.encode()) for p in plain), np.uint64, len(rows)).view(np.int64)
+            spelled = np.fromiter((xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) for _, raw, _ in rows), np.uint64, len(rows)).view(np.int64)
+            columns = [pa.array([f for f, *_ in rows], pa.string()), pa.array(v), pa.array(plain, pa.string()), pa.array(spelled), pa.array([n for *_, n in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["field", "v", "value", "spelling", "records"])
+
+        for batch in batches:
+            for r in map(read, batch.column(1).to_pylist()):
+                if r is not None:
+                    for c, value in zip(counts, r, strict=True):
+                        c[value] += 1
+            if sum(map(len, counts)) > ENTRIES:
+                yield entries()
+                for c in counts:
+                    c.clear()
+        yield entries()
+
+    rows = _complete(df, record_id, text).distinct().mapInArrow(run, "field string, v bigint, value string, spelling bigint, records bigint")
+    by_spelling = rows.groupBy("field", "v", "value", "spelling").agg(F.sum("records").alias("records"))
+    return by_spelling.groupBy("field", "v", "value").agg(F.count(F.lit(1)).alias("spellings"), F.sum("records").alias("records"))
 
 
 def groups(tuples: DataFrame) -> DataFrame:
     """(tuple..., keep_id, n): one row for each distinct record, with its smallest id and its copies."""
     keys = [c for c in tuples.columns if c != "id"]
-    return tuples.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    return tuples.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count_distinct("id").alias("n"))
 
 
 def copies(tuples: DataFrame) -> DataFrame:
-    """(keep_id, copy_id): the smallest id of each group with each of the others."""
+    """(keep_id, copy_id): the smallest id of each group with each of the others.
+
+    Groups are counted with a map-side combine, so a group of a third of all rows is one row a task;
+    those of one row are dropped before the records are read again.
+    """
     keys = [c for c in tuples.columns if c != "id"]
-    many = groups(tuples).filter("n > 1")
-    return skew.look_up(tuples, many, keys, "n").filter("id > keep_id").select("keep_id", F.col("id").alias("copy_id")).distinct()
+    many = durable(tuples.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > keep_id").drop("last"))
+    if many.count() <= BROADCAST_GROUPS:
+        met = tuples.join(F.broadcast(many.drop("n")), keys)
+    else:
+        met = skew.look_up(tuples, many, keys, "n")
+    return met.filter("id > keep_id").select("keep_id", F.col("id").alias("copy_id")).distinct()

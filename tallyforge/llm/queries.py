@@ -28,6 +28,11 @@ def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.groups(_tuples(spark, folder)).select("keep_id", F.col("n").alias("copies"))
 
 
+def p4_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Every canonical value of the three fields, with the records that have it."""
+    return copies.dictionary(table(spark, folder, "captured_entries"), "capture_id", "record_text").select("field", "value", "records")
+
+
 def _value(label: str) -> str:
     return f"regexp_replace(lower(upper(regexp_extract(record_text, '(?is){label}(.*?)(?:{'|'.join(copies.LABELS.values())}|$)', 1))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
@@ -156,6 +161,7 @@ leak AS (SELECT doc_id, item_id, count(DISTINCT i.at) AS windows, min(d.at) AS f
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
+    "p4_dictionary": p4_dictionary,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p6_rates": p6_rates,
@@ -174,6 +180,7 @@ QUERIES: dict[str, Query] = {
 SQL = {
     "p4_found": f"WITH {_SAME} SELECT keep_id, capture_id AS copy_id FROM v JOIN g USING (v0, v1, v2) WHERE capture_id > keep_id",
     "p4_collapsed": f"WITH {_SAME} SELECT keep_id, copies FROM g",
+    "p4_dictionary": f"WITH {_SAME} " + " UNION ALL ".join(f"SELECT '{name}' AS field, v{i} AS value, count(*) AS records FROM v GROUP BY ALL" for i, name in enumerate(copies.LABELS)),
     # sizes are a tokenizer's, which SQL does not have; what must hold of any packing it can say
     "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS repeated, 0 AS needless_cuts, 0 AS overfull, 0 AS misstated, 0 AS joinable FROM documents WHERE length(text) > 0",
     "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leak",

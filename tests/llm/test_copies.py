@@ -85,3 +85,24 @@ def test_json_escapes_are_undone(spark):
     rows = [(1, json.dumps({"entity_code": "E1", "account_code": "2", "description": 'café\t"x"'})), (2, "entity code: e1; account code: 2; description: CAFÉ x")]
     df = spark.createDataFrame(rows, "capture_id long, record_text string")
     assert [tuple(r) for r in copies.copies(copies.encoded(df, "capture_id", "record_text")).collect()] == [(1, 2)]
+
+
+def test_dictionary_counts_spellings_and_records(spark, monkeypatch):
+    rows = [(i, f"entity code: {e} | account code: 1 | description: {d}") for i, (e, d) in enumerate([("E-1", "a b"), ("e1", "A.B"), ("E 1", "a b"), ("E2", "c")])]
+    df = spark.createDataFrame([*rows, rows[0], (9, None)], "capture_id long, record_text string")
+    for entries in (copies.ENTRIES, 1):
+        monkeypatch.setattr(copies, "ENTRIES", entries)
+        got = {(r.field, r.value): (r.spellings, r.records) for r in copies.dictionary(df, "capture_id", "record_text").collect()}
+        assert got == {("entity_code", "e1"): (3, 3), ("entity_code", "e2"): (1, 1), ("account_code", "1"): (1, 4), ("description", "ab"): (2, 3), ("description", "c"): (1, 1)}
+
+
+def test_many_groups_meet_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BROADCAST_GROUPS", 3)
+    r = random.Random(5)
+    base = [(f"e{r.randrange(9)}", str(i), "x y") for i in range(40)]
+    check(spark, [(i, layouts(r, base[0] if r.random() < 0.35 else r.choice(base))) for i in range(400)])
+
+
+@pytest.mark.parametrize(("a", "b"), [("Straße", "STRASSE"), ("ΟΔΟΣ", "οδος-"), ("ΟΔΟΣ 1", "οδοσ1"), ("İ", "i"), ("ﬁn", "FIN"), ("１２", "１-２"), ("é", "E")])
+def test_case_is_ignored_in_any_script(a, b):
+    assert copies.canonical(a) == copies.canonical(b)
