@@ -32,13 +32,28 @@ def net_activity(source: DataFrame, account: str = "account_code", debit: str =
     return source.filter(F.col(account).isNotNull()).groupBy(F.col(account).alias("account")).agg(F.sum(net).alias("source_net"))
 
 
+def accounts(source: DataFrame) -> DataFrame:
+    """All that the controls and the reconciliation need of the source, in one pass: a row for each account."""
+    return source.groupBy(F.col("account_code").alias("account")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(_filled(SOURCE)).alias("active"),
+        F.count_if(_complete(SOURCE)).alias("complete"),
+        F.sum(F.abs(F.coalesce("debit", F.lit(0))) + F.abs(F.coalesce("credit", F.lit(0)))).alias("activity"),
+        F.coalesce(F.sum("debit"), F.lit(0)).alias("debits"),
+        F.coalesce(F.sum("credit"), F.lit(0)).alias("credits"),
+    )
+
+
 def reconcile_ledger(source: DataFrame, ledger: DataFrame) -> DataFrame:
     """(account, source_net, ledger_balance, difference, threshold, status) for each ledger account.
 
-    ledger: (account, ledger_balance, threshold). An account without activity has a net of 0; without a
-    balance or threshold it is NOT READY; a blank account has no status.
+    source: rows, or what ``accounts`` made of them. ledger: (account, ledger_balance, threshold). An
+    account without activity has a net of 0; without a balance or threshold it is NOT READY; a blank
+    account has no status.
     """
-    joined = ledger.join(net_activity(source), "account", "left").withColumn("source_net", F.coalesce("source_net", F.lit(0)))
+    made = {"account", "debits", "credits"} <= set(source.columns)
+    net = source.filter("account is not null").select("account", (F.col("debits") - F.col("credits")).alias("source_net")) if made else net_activity(source)
+    joined = ledger.join(net, "account", "left").withColumn("source_net", F.coalesce("source_net", F.lit(0)))
     blank = F.coalesce(F.trim("account"), F.lit("")) == ""
     joined = joined.withColumn("difference", F.when(~blank, F.col("source_net") - F.coalesce("ledger_balance", F.lit(0))))
     status = (
@@ -84,30 +99,30 @@ ENTRY = ("entry_id", "account_code", "description", "debit", "credit", "source_r
 EXCEPTION = ("exception_id", "detected_in", "question", "authority_class", "owner_role", "due_date", "status")
 
 
+#: What a proposed entry's and an exception's fields may say.
+PREPARATION = ("Draft", "Ready for review", "Hold")
+AUTHORITY = ("supporting", "contextual", "question-only", "superseded")
+EXCEPTION_STATUS = ("Open", "Resolved", "Retained")
+
+
 def controls(
-    source: DataFrame,
+    by_account: DataFrame,
     mapping: DataFrame,
     reconciliation: DataFrame,
     entries: DataFrame | None = None,
     exceptions: DataFrame | None = None,
     identity: Sequence[str | None] = (),
-    capacities: dict[str, tuple[DataFrame, int]] | None = None,
+    capacities: dict[str, int] | None = None,
     tolerance: str = TOLERANCE,
 ) -> DataFrame:
-    """The nine controls. reconciliation is what reconcile_ledger gives; absent parts count as empty."""
+    """The nine controls.
+
+    by_account is what ``accounts`` gives of the source, kept (it is read several times); reconciliation
+    what reconcile_ledger gives; absent parts count as empty. capacities: the most rows that ``source``,
+    ``map``, ``reconciliation``, ``entries`` and ``exceptions`` may have.
+    """
     tol = F.lit(tolerance).cast("decimal(10,4)")
-    spark = source.sparkSession
-    # all that the controls need of the source, in one pass: a row for each account
-    by_account = durable(
-        source.groupBy(F.col("account_code").alias("account")).agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(_filled(SOURCE)).alias("active"),
-            F.count_if(_complete(SOURCE)).alias("complete"),
-            F.sum(F.abs(F.coalesce("debit", F.lit(0))) + F.abs(F.coalesce("credit", F.lit(0)))).alias("activity"),
-            F.coalesce(F.sum("debit"), F.lit(0)).alias("debits"),
-            F.coalesce(F.sum("credit"), F.lit(0)).alias("credits"),
-        )
-    )
+    spark = by_account.sparkSession
     reconciliation = durable(reconciliation.select("account", "status"))
     total_of = lambda c: F.coalesce(F.sum(c), F.lit(0))
     amounts = by_account.agg(
@@ -144,7 +159,7 @@ def controls(
     else:
         e = entries.agg(
             F.count_if(_filled(ENTRY)).alias("active"),
-            F.count_if(_complete(ENTRY) & F.col("preparation_status").isin("Draft", "Ready for review", "Hold")).alias("complete"),
+            F.count_if(_complete(ENTRY) & F.col("preparation_status").isin(*PREPARATION)).alias("complete"),
             (F.coalesce(F.sum("debit"), F.lit(0)) - F.coalesce(F.sum("credit"), F.lit(0))).alias("balance"),
         ).withColumn("delta", F.col("active") - F.col("complete") + F.when(F.abs("balance") < tol, 0).otherwise(1))
         parts.append(_control(e, 6, "entries_balanced", F.when(F.col("active") == 0, "NOT APPLICABLE").otherwise(_pass(F.col("delta"))), F.col("delta")))
@@ -152,13 +167,14 @@ def controls(
     if exceptions is None:
         seventh = gate5.withColumn("delta", F.lit(0))
     else:
-        known = F.col("authority_class").isin("supporting", "contextual", "question-only", "superseded") & F.col("status").isin("Open", "Resolved", "Retained")
+        known = F.col("authority_class").isin(*AUTHORITY) & F.col("status").isin(*EXCEPTION_STATUS)
         x = exceptions.agg((F.count_if(_filled(EXCEPTION)) - F.count_if(_complete(EXCEPTION) & known) + F.count_if(F.col("status") == "Open")).alias("delta"))
         seventh = gate5.crossJoin(x)  # one row each
     parts.append(_control(seventh, 7, "exceptions_closed", F.when(F.col("gate") != "PASS", "NOT READY").otherwise(_pass(F.col("delta"))), F.col("delta")))
     open_fields = sum(1 for v in identity if v is None or not v.strip() or v.startswith("{"))
     parts.append(_control(spark.range(1), 8, "identity_populated", F.lit("NOT READY" if open_fields or not identity else "PASS"), F.lit(int(bool(open_fields or not identity)))))
-    beyond = [df.agg(F.greatest(F.count(F.lit(1)) - F.lit(cap), F.lit(0)).alias("x")) for df, cap in (capacities or {}).values()]
+    size = {"source": (by_account, F.coalesce(F.sum("rows"), F.lit(0))), **{k: (df, F.count(F.lit(1))) for k, df in (("map", mapping), ("reconciliation", reconciliation), ("entries", entries), ("exceptions", exceptions)) if df is not None}}
+    beyond = [size[k][0].agg(F.greatest(size[k][1] - F.lit(cap), F.lit(0)).alias("x")) for k, cap in (capacities or {}).items() if k in size]
     ninth = reduce(lambda a, b: a.unionByName(b), beyond).agg(F.sum("x").alias("x")) if beyond else spark.range(1).select(F.lit(0).alias("x"))
     parts.append(_control(ninth, 9, "within_capacity", _pass(F.col("x")), F.col("x")))
     return reduce(lambda a, b: a.unionByName(b), parts)

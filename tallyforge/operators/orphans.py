@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.operators import skew
+from tallyforge.session import durable
 
 
 def canonical_key(key: Column) -> Column:
@@ -67,7 +68,7 @@ def judged(refs: DataFrame, parents: DataFrame, spread: bool = True) -> DataFram
         .unionByName(known.select(*keys, F.lit(None).cast("date").alias("day"), F.lit(0).cast("bigint").alias("change"), "first_since", F.lit(True).alias("known")))
     )
     if spread:
-        hot = skew.hot_keys(refs, keys)
+        hot = durable(skew.hot_keys(refs, keys))  # few rows, for both sides
         refs = skew.salted(refs, hot, keys, F.struct("record_key", "day"))
         events = skew.replicated(events, hot, keys)
     else:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions import scalars
 from tallyforge.operators import carriers, catalog, close_model, findings, integrity, malformed, nested
-from tallyforge.plans.records import _JSON
+from tallyforge.plans.records import _JSON, _LINES
+from tallyforge.session import durable
 from tallyforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +79,11 @@ def prior_period_change(spark: SparkSession, folder: str) -> DataFrame:
     return _money(close_model.period_change(_rows(spark, folder), F.col("transaction_date")), "current", "prior", "change")
 
 
-def _controls(spark: SparkSession, folder: str) -> DataFrame:
-    rows, mapping = _rows(spark, folder), table(spark, folder, "account_map")
-    recon = close_model.reconcile_ledger(rows, _ledger(spark, folder))
-    capacity = {"source": (rows, 100_000), "map": (mapping, 200)}
-    return close_model.controls(rows, mapping, recon, identity=("entity", "period", "preparer", "{{reviewer}}"), capacities=capacity)
+def _controls(spark: SparkSession, folder: str, **more: DataFrame) -> DataFrame:
+    by_account = durable(close_model.accounts(_rows(spark, folder)))
+    recon = close_model.reconcile_ledger(by_account, _ledger(spark, folder))
+    identity = ("entity", "period", "preparer", "{{reviewer}}")
+    return close_model.controls(by_account, table(spark, folder, "account_map"), recon, identity=identity, capacities={"source": 100_000, "map": 200}, **more)
 
 
 _FULL = lambda cols: " AND ".join(f"coalesce(trim({c}::VARCHAR) <> '', false)" for c in cols)
@@ -117,6 +118,39 @@ def control_table(spark: SparkSession, folder: str) -> DataFrame:
     return _money(_controls(spark, folder), "delta")
 
 
+_AS_ENTRY = {"OPEN": "Draft", "PENDING": "Ready for review", "HOLD": "Hold", "PARKED": "Draft "}
+_AS_EXCEPTION = {"REVERSED": "Resolved", "VOID": "Retained", "DENIED": "Open", "REQ-INFO": "Closed"}
+_CASE = lambda names: "CASE status_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+_IN = lambda names: "status_code IN (" + ", ".join(f"'{k}'" for k in names) + ")"
+_PARTS = f"""entries AS (SELECT source_row_id AS entry_id, account_code, description, debit, credit, entity_code AS source_reference, {_CASE(_AS_ENTRY)} AS preparation_status FROM src WHERE {_IN(_AS_ENTRY)}),
+exceptions AS (SELECT source_row_id AS exception_id, entity_code AS detected_in, description AS question, 'supporting' AS authority_class, account_code AS owner_role, transaction_date AS due_date, {_CASE(_AS_EXCEPTION)} AS status FROM src WHERE {_IN(_AS_EXCEPTION)}),
+six AS (SELECT count(*) FILTER ({_ANY(close_model.ENTRY)}) AS active, count(*) FILTER ({_FULL(close_model.ENTRY)} AND preparation_status IN ('Draft', 'Ready for review', 'Hold')) AS complete,
+  CASE WHEN abs(coalesce(sum(debit), 0) - coalesce(sum(credit), 0)) < 0.005 THEN 0 ELSE 1 END AS off FROM entries),
+seven AS (SELECT count(*) FILTER ({_ANY(close_model.EXCEPTION)}) - count(*) FILTER ({_FULL(close_model.EXCEPTION)} AND status IN ('Open', 'Resolved', 'Retained')) + count(*) FILTER (status = 'Open') AS x FROM exceptions)"""
+
+
+@query(
+    f"""WITH {_CONTROLS}, {_PARTS} SELECT * FROM t WHERE position NOT IN (6, 7)
+    UNION ALL SELECT 6, 'entries_balanced', CASE WHEN active = 0 THEN 'NOT APPLICABLE' WHEN active - complete + off = 0 THEN 'PASS' ELSE 'FAIL' END, (active - complete + off)::DOUBLE FROM six
+    UNION ALL SELECT 7, 'exceptions_closed', CASE WHEN (SELECT active = 0 OR active - complete + x <> 0 FROM five) THEN 'NOT READY' WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END, x::DOUBLE FROM seven"""
+)
+def control_table_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The controls with proposed entries and exceptions, read off rows by their status."""
+    rows = _rows(spark, folder)
+
+    def named(names: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for k, v in names.items():
+            out = F.when(F.col("status_code") == k, v).otherwise(out)
+        return out
+
+    entries = rows.filter(F.col("status_code").isin(*_AS_ENTRY)).select(F.col("source_row_id").alias("entry_id"), "account_code", "description", "debit", "credit", F.col("entity_code").alias("source_reference"), named(_AS_ENTRY).alias("preparation_status"))
+    exceptions = rows.filter(F.col("status_code").isin(*_AS_EXCEPTION)).select(
+        F.col("source_row_id").alias("exception_id"), F.col("entity_code").alias("detected_in"), F.col("description").alias("question"), F.lit("supporting").alias("authority_class"), F.col("account_code").alias("owner_role"), F.col("transaction_date").alias("due_date"), named(_AS_EXCEPTION).alias("status")
+    )
+    return _money(_controls(spark, folder, entries=entries, exceptions=exceptions), "delta")
+
+
 @query(f"WITH {_CONTROLS} SELECT CASE WHEN bool_or(result = 'FAIL') THEN 'FAIL' WHEN bool_or(result = 'NOT READY') THEN 'NOT READY' ELSE 'PASS' END AS status FROM t")
 def model_status(spark: SparkSession, folder: str) -> DataFrame:
     return close_model.model_status(_controls(spark, folder))
@@ -350,16 +384,29 @@ def token_scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source_row_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the phrases are written out here, so that the SQL does not share the code's table
+_CODES = {
+    "answer_key": r"\b(hidden\s+)?answer\s+key\b",
+    "ground_truth": r"\bground\s+truth\b",
+    "grading_rubric": r"\b(grading|evaluation)\s+rubric\b",
+    "model_answer": r"\bmodel\s+answer\b",
+    "prior_submission": r"\bprior\s+submission\b",
+    "system_prompt": r"\bsystem\s+prompt\b",
+}
+_LISTED = lambda words: "list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" for m in words) + "], lambda x: x IS NOT NULL))"
+
+
 @query(
-    "SELECT doc_id, list_sort(list_filter(["
-    + ", ".join(f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" for m in scalars.MARKERS)
-    + "], lambda x: x IS NOT NULL)) AS markers, list_filter(["
-    + ", ".join("CASE WHEN regexp_matches(text, '(?i)" + p + f"') THEN '{c}' END" for c, p in scalars.PROHIBITED.items())
-    + "], lambda x: x IS NOT NULL) AS prohibited FROM documents WHERE text IS NOT NULL"
+    f"SELECT doc_id, {_LISTED(('approval', 'contextual', 'governing', 'question', 'superseded', 'supporting'))} AS markers, {_LISTED(('answer key', 'calibration target', 'evaluator-facing', 'generator residue', 'prior submission', 'private grading', 'rubric answer'))} AS forbidden, list_sort(list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{c}' END" for c, p in _CODES.items())
+    + "], lambda x: x IS NOT NULL)) AS prohibited FROM documents WHERE text IS NOT NULL"
 )
 def phrase_scan(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
     docs = table(spark, folder, "documents").filter("text is not null")
-    return docs.select("doc_id", scalars.containing(F.col("text"), scalars.MARKERS).alias("markers"), scalars.prohibited(F.col("text")).alias("prohibited"))
+    return docs.select(
+        "doc_id", F.array_sort(scalars.containing(text, scalars.MARKERS)).alias("markers"), F.array_sort(scalars.containing(text, scalars.FORBIDDEN)).alias("forbidden"), F.array_sort(scalars.prohibited(text)).alias("prohibited")
+    )
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '(?mi)^(from:|sent:|to:|subject:|on .+ wrote:|>)'))::BIGINT AS markers FROM documents WHERE text IS NOT NULL")
@@ -368,21 +415,27 @@ def reply_markers(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", scalars.reply_markers(F.col("text")).cast("bigint").alias("markers"))
 
 
-@query()
+_HEAD = lambda h: rf"regexp_matches(b, '(?im)^[ \t>]*{h}:[ \t]*\S')"
+
+
+@query(
+    rf"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '(?im)^[ \t]*(-{{2,}}[ \t]*(original|forwarded) message[ \t]*-{{2,}}|begin forwarded message:)[ \t]*\r?$')[2:],
+    lambda b: {_HEAD("from")} AND {_HEAD("to")} AND {_HEAD("subject")} AND {_HEAD("(sent|date)")} AND regexp_matches(b, '\r?\n[ \t]*\r?\n\s*\S')))::BIGINT AS messages FROM documents WHERE text IS NOT NULL"""
+)
 def quoted_messages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter("text is not null")
-    return docs.select("doc_id", F.size(scalars.quoted_messages(F.col("text"))).alias("messages"))
+    return docs.select("doc_id", F.size(scalars.quoted_messages(F.col("text"))).cast("bigint").alias("messages"))
 
 
-@query()
+@query(r"SELECT source_row_id, trim(regexp_replace(regexp_replace(description, '</?[a-zA-Z][^>]*>', '', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')) AS seen FROM source_rows WHERE description IS NOT NULL")
 def visible_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_rows").filter("description is not null")
     return rows.select("source_row_id", scalars.visible_text(F.col("description")).alias("seen"))
 
 
-@query()
+@query("SELECT lower(trim(status_code)) AS identity, count(DISTINCT status_code) AS spellings, count(*) AS rows FROM source_rows WHERE status_code IS NOT NULL GROUP BY 1")
 def identity_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    """Statuses as identities, with the spellings each has."""
+    """Statuses as identities, with the spellings each has (all of them are ASCII, which SQL can fold alike)."""
     rows = table(spark, folder, "source_rows").filter("status_code is not null").groupBy("status_code").agg(F.count(F.lit(1)).alias("n"))
     return rows.groupBy(scalars.identity(F.col("status_code")).alias("identity")).agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows"))
 
@@ -466,7 +519,7 @@ def resent_lines(spark: SparkSession, folder: str) -> DataFrame:
     return by_text.groupBy("file_name", "line_no").agg(F.sum("n").alias("n"), F.count_if(F.col("h") != "").alias("texts")).filter("n > 1")
 
 
-@query()
+@query(f"WITH {_LINES} SELECT file_name, count(*) AS lines, count(*) FILTER (line_id IN (SELECT line_id FROM reasons)) AS rejected FROM lines GROUP BY 1")
 def line_structure(spark: SparkSession, folder: str) -> DataFrame:
     """How files' lines load: lines, rejects and distinct reasons by file."""
     done = malformed.classify(table(spark, folder, "raw_source_lines").select("file_name", "raw_line"), "raw_line")

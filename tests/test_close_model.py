@@ -29,8 +29,10 @@ def good():
 def table(spark, p):
     source, mapping = spark.createDataFrame(p["source"], SOURCE), spark.createDataFrame(p["map"], MAP)
     ledger = spark.createDataFrame(p["ledger"], "account string, ledger_balance decimal(18,2), threshold decimal(18,2)")
-    recon = cm.reconcile_ledger(source, ledger)
-    t = cm.controls(source, mapping, recon, spark.createDataFrame(p["entries"], ENTRY), spark.createDataFrame(p["exceptions"], EXCEPTION), p["identity"], {"source": (source, p["capacity"])})
+    by_account = cm.accounts(source)
+    recon = cm.reconcile_ledger(by_account, ledger)
+    assert sorted(recon.collect()) == sorted(cm.reconcile_ledger(source, ledger).collect())
+    t = cm.controls(by_account, mapping, recon, spark.createDataFrame(p["entries"], ENTRY), spark.createDataFrame(p["exceptions"], EXCEPTION), p["identity"], {"source": p["capacity"], "map": 25})
     rows = {r.position: r for r in t.collect()}
     return {k: r.result for k, r in rows.items()}, rows, cm.model_status(t).first().status
 
