@@ -6,10 +6,14 @@ import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.scalars import pointer
+from tallyforge.functions.structure import index
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 _FOUND = pa.schema([("subject", pa.string()), ("location", pa.string()), ("problem", pa.string())])
 
@@ -142,3 +146,48 @@ def forbidden_findings(df: DataFrame, subject: str, text: str, keys: Sequence[st
     """(subject, location, problem) of forbidden keys and texts at any depth."""
     lowered = tuple(k.casefold() for k in keys)
     return _each(df, subject, text, lambda d: forbidden(d, lowered, patterns))
+
+
+def object_flags(df: DataFrame, text: str) -> DataFrame:
+    """df with ``is_object``: whether a text is a whole JSON object, judged by the structural index of each batch.
+
+    Null, blank and malformed texts, and texts of another kind, are none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            raw = [t.encode("utf-8", "surrogatepass") if t is not None else None for t in batch.column(at).to_pylist()]
+            ix = index(raw)
+            held = np.maximum(ix.root, 0)
+            flags = (ix.root >= 0) & ~ix.bad & ~(ix.is_array[held] if len(ix.is_array) else np.ones(len(raw), bool))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=[*batch.schema.names, "is_object"])
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", is_object boolean")
+
+
+def pointed(df: DataFrame, text: str, carry: Sequence[str], pointers: Sequence[str]) -> DataFrame:
+    """(carry..., pointer, value): what each JSON pointer finds in each text; texts as they stand, anything
+    else as JSON. Null where the text is malformed or the pointer leads nowhere, or to null."""
+    types = dict(df.dtypes)
+
+    def value(document: object, path: str) -> str | None:
+        try:
+            found = pointer(document, path)
+        except (KeyError, IndexError, ValueError, TypeError):
+            return None
+        return found if found is None or isinstance(found, str) else json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body in batch.column(len(carry)).to_pylist():
+                try:
+                    document = json.loads(body) if body is not None else None
+                except (ValueError, RecursionError):
+                    document = None
+                out += [value(document, p) if document is not None else None for p in pointers]
+            rows = np.repeat(np.arange(batch.num_rows), len(pointers))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns[:-1], pa.array(list(pointers) * batch.num_rows), pa.array(out, pa.string())], names=[*carry, "pointer", "value"])
+
+    return df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", pointer string, value string")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.scalars import identity, superset
+from tallyforge.operators import skew
 from tallyforge.operators.findings import finding, together
 
 SELECTABLE = ("deprecated", "released")
@@ -181,7 +182,7 @@ def recommend(profiles: DataFrame, catalog: DataFrame, history: DataFrame, reque
         .fillna(False, ["consecutive"])
         .filter(~F.col("consecutive") & ((F.col("exact") == 0) | planned))
     )
-    order = Window.orderBy(F.col("release_status") == "deprecated", F.col("exact") > 0, "lineage", "alike", "submission_profile_id", "template_id", "version")
+    order = [F.col("release_status") == "deprecated", F.col("exact") > 0, F.col("lineage"), F.col("alike"), F.col("submission_profile_id"), F.col("template_id"), F.col("version")]
     reasons = F.array_compact(
         F.array(
             F.lit("reviewed_profile"),
@@ -192,7 +193,7 @@ def recommend(profiles: DataFrame, catalog: DataFrame, history: DataFrame, reque
             F.when(F.col("alike") > 0, "diversity_fingerprint_repeated"),
         )
     )
-    return counted.select(F.row_number().over(order).alias("rank"), *key, "release_status", "submission_profile_id", "fingerprint", "exact", "lineage", "alike", reasons.alias("reasons"))
+    return skew.ranked(counted, order).select("rank", *key, "release_status", "submission_profile_id", "fingerprint", "exact", "lineage", "alike", reasons.alias("reasons"))
 
 
 def no_match_reason(profiles: DataFrame, catalog: DataFrame, request: Request) -> str:

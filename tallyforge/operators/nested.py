@@ -48,13 +48,22 @@ class Child:
 
 @dataclass(frozen=True)
 class Layout:
-    """One array of parents in each record, and their children."""
+    """One array of parents in each record, and their children.
+
+    attributes: fields that a row of any kind shows of its own object. inherit: fields of the parent that
+    all its rows show, as ``parent_`` and the field, so that children need no join to their parent.
+    """
 
     parents: str
     parent_kind: str
     parent_key: str
     children: Sequence[Child]
     attributes: Sequence[str] = field(default=())
+    inherit: Sequence[str] = field(default=())
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.attributes, *(f"parent_{a}" for a in self.inherit)]
 
 
 PROFILE = Layout(
@@ -73,7 +82,7 @@ PROFILE = Layout(
 
 
 def _rows(ix: Index, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, str | list[str], np.ndarray, list[str | None], list[list[str | None]]]]:
-    """For each kind: record, parent's place, kind, child's place, keys, attributes."""
+    """For each kind: record, parent's place, kind, child's place, keys, attributes and inherited ones."""
 
     def attributes(objects: np.ndarray) -> list[list[str | None]]:
         return [ix.texts(ix.find(objects, a)) for a in layout.attributes]
@@ -86,7 +95,8 @@ def _rows(ix: Index, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, s
     parent_object = ix.object_in(element)
     keep = parent_object >= 0
     record, parent_place, parent = records[source[keep]], parent_place[keep], parent_object[keep]
-    yield record, parent_place, layout.parent_kind, parent_place, ix.texts(ix.find(parent, layout.parent_key)), attributes(parent)
+    handed = [ix.texts(ix.find(parent, a)) for a in layout.inherit]
+    yield record, parent_place, layout.parent_kind, parent_place, ix.texts(ix.find(parent, layout.parent_key)), attributes(parent) + handed
     for c in layout.children:
         held = ix.find(parent, c.path)
         if c.by_field:
@@ -102,21 +112,21 @@ def _rows(ix: Index, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, s
         key = ix.find(child, c.key)
         if c.bare:
             key = np.where((key < 0) & (child < 0) & ix.is_text(member), member, key)
-        yield record[which], parent_place[which], kinds, place, ix.texts(key), attributes(child)
+        yield record[which], parent_place[which], kinds, place, ix.texts(key), attributes(child) + [[h[w] for w in which.tolist()] for h in handed]
 
 
 def flatten(df: DataFrame, text: str, carry: Sequence[str], layout: Layout = PROFILE, malformed: bool = False) -> DataFrame:
-    """(carry..., parent_pos long, kind, child_pos long, child_key, the layout's attributes).
+    """(carry..., parent_pos long, kind, child_pos long, child_key, the layout's attributes, inherited ones).
 
     Every child comes out, also one without a key. malformed: rows of kind ``malformed`` too.
     """
-    made = {"parent_pos", "kind", "child_pos", "child_key", *layout.attributes}
+    made = {"parent_pos", "kind", "child_pos", "child_key", *layout.columns}
     if made & set(carry):
         raise ValueError(f"carried columns clash with what is made: {sorted(made & set(carry))}")
     types = dict(df.dtypes)
     plain = df.select(*[F.col(f"`{c}`") for c in carry], F.encode(F.col(f"`{text}`"), "utf-8").alias("__tf_text"))
     schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", parent_pos long, kind string, child_pos long, child_key string"
-    schema += "".join(f", `{a}` string" for a in layout.attributes)
+    schema += "".join(f", `{a}` string" for a in layout.columns)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ix = index(batch.column(len(carry)).to_pylist())
@@ -124,7 +134,7 @@ def flatten(df: DataFrame, text: str, carry: Sequence[str], layout: Layout = PRO
         if malformed:
             bad = np.flatnonzero(ix.bad)
             none = [None] * len(bad)
-            parts.append((bad, np.zeros(len(bad), np.int64), "malformed", np.zeros(len(bad), np.int64), none, [none for _ in layout.attributes]))
+            parts.append((bad, np.zeros(len(bad), np.int64), "malformed", np.zeros(len(bad), np.int64), none, [none for _ in layout.columns]))
         for record, parent_place, kinds, place, keys, attributes in parts:
             if not len(record):
                 continue
@@ -138,7 +148,7 @@ def flatten(df: DataFrame, text: str, carry: Sequence[str], layout: Layout = PRO
                     pa.array(keys, pa.string()),
                     *[pa.array(a, pa.string()) for a in attributes],
                 ],
-                names=[*carry, "parent_pos", "kind", "child_pos", "child_key", *layout.attributes],
+                names=[*carry, "parent_pos", "kind", "child_pos", "child_key", *layout.columns],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

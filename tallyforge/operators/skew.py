@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import width
+from tallyforge.session import durable, width
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
@@ -55,3 +55,19 @@ def look_up(df: DataFrame, entries: DataFrame, keys: Sequence[str], count: str,
     values = [c for c in entries.columns if c not in keys and c != count]
     of_cold = marked.filter(F.col("__tf_hot").isNull()).drop("__tf_hot", *values).join(entries.drop(count), list(keys), how)
     return of_hot.unionByName(of_cold)
+
+
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """df in a total order, with each row's place from 1; sorted over all tasks, never in one.
+
+    Rows are sorted into ranges and kept; a row's place is its place in its range after the rows of the
+    ranges before, of which there is one number a partition.
+    """
+    kept = durable(df.orderBy(*order)).withColumn("__tf_part", F.spark_partition_id()).withColumn("__tf_row", F.monotonically_increasing_id())
+    before, starts = 0, []
+    for part, n in sorted(kept.groupBy("__tf_part").count().collect()):
+        starts.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "__tf_part int, __tf_before bigint")
+    within = F.col("__tf_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(offsets), "__tf_part").withColumn(name, F.col("__tf_before") + within + 1).drop("__tf_part", "__tf_row", "__tf_before")

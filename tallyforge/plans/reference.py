@@ -261,24 +261,29 @@ def typed_row_validation(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", k.alias("k"), valid.alias("valid"), scalars.excel_serial(F.to_date("ts")).cast("bigint").alias("serial"))
 
 
-_FLOOR = {"entities": "entity_code", "accounts": "account_code", "dates": "transaction_date", "statuses": "status_code", "descriptions": "description"}
+_FLOOR = {"entities": ("entity_code", 4), "accounts": ("account_code", 10), "dates": ("transaction_date", 20), "statuses": ("status_code", 4), "descriptions": ("description", 100)}
+_COUNTED = {**{k: (f"count(DISTINCT {c})", least) for k, (c, least) in _FLOOR.items()}, "amounts": ("count(DISTINCT CASE WHEN debit <> 0 THEN debit END)", 150), "cents": ("count(DISTINCT (abs(debit) * 100)::BIGINT % 100)", 101)}
 
 
-@query(f"SELECT {', '.join(f'count(DISTINCT {c}) AS {k}' for k, c in _FLOOR.items())}, count(DISTINCT CASE WHEN debit <> 0 THEN debit END) AS amounts, count(DISTINCT (abs(debit) * 100)::BIGINT % 100) AS cents FROM source_rows")
+@query(" UNION ALL ".join(f"SELECT '{k}' AS dimension, {c} AS n, {least} AS least, {c} >= {least} AS holds FROM source_rows" for k, (c, least) in _COUNTED.items()))
 def diversity_floor(spark: SparkSession, folder: str) -> DataFrame:
-    counts = [F.count_distinct(c).alias(k) for k, c in _FLOOR.items()]
+    """How many different values each dimension of a population has, against the least it must have."""
+    counts = [F.count_distinct(c).alias(k) for k, (c, _) in _FLOOR.items()]
     cents = F.pmod((F.abs("debit") * 100).cast("bigint"), F.lit(100))
-    return table(spark, folder, "source_rows").agg(*counts, F.count_distinct(F.when(F.col("debit") != 0, F.col("debit"))).alias("amounts"), F.count_distinct(cents).alias("cents"))
+    one = table(spark, folder, "source_rows").agg(*counts, F.count_distinct(F.when(F.col("debit") != 0, F.col("debit"))).alias("amounts"), F.count_distinct(cents).alias("cents"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("n"), F.lit(least).alias("least")) for k, (_, least) in _COUNTED.items()]))
+    return one.select(each.alias("e")).select("e.*", (F.col("e.n") >= F.col("e.least")).alias("holds"))
 
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", sum(n)::BIGINT AS rows, max(n) AS top, max(n) / sum(n)::DOUBLE AS share FROM (SELECT coalesce(trim({c}), '') AS v, count(*) AS n FROM source_rows GROUP BY 1)"
+        f"SELECT '{c}' AS \"column\", sum(n)::BIGINT AS rows, max(n) AS top, max(n) / sum(n)::DOUBLE AS share, max(n) / sum(n)::DOUBLE < 0.4 AS holds FROM (SELECT coalesce(trim({c}), '') AS v, count(*) AS n FROM source_rows GROUP BY 1)"
         for c in ("entity_code", "account_code", "description", "status_code")
     )
 )
 def mode_share(spark: SparkSession, folder: str) -> DataFrame:
-    return carriers.mode_share(table(spark, folder, "source_rows"), _UNIQUE)
+    """How much of a column its most frequent value makes up, and whether that is below two fifths."""
+    return carriers.mode_share(table(spark, folder, "source_rows"), _UNIQUE).withColumn("holds", F.col("share") < 0.4)
 
 
 @query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
@@ -334,22 +339,48 @@ def recent_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.window_counts(uses, ["user_id"], "event_type")
 
 
+_FACETS = "struct<business_function:array<string>,lifecycle:array<string>,medium:array<string>,organization_form:array<string>>"
+_ENTRY = nested.Layout("templates", "template", "template_id", (), ("version", "facets", "diversity_fingerprint"))
+
+
+def _templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates of all profiles, with their facets and the profile's id and status."""
+    profiles = table(spark, folder, "profiles").withColumn("status", F.get_json_object("body", "$.status"))
+    flat = nested.flatten(profiles.select("profile_seq", "submission_profile_id", "status", "body"), "body", ["profile_seq", "submission_profile_id", "status"], _ENTRY)
+    keyed = flat.filter("child_key is not null and version is not null").withColumnsRenamed({"child_key": "template_id", "parent_pos": "template_pos", "diversity_fingerprint": "fingerprint"})
+    return keyed.withColumn("facets", F.from_json("facets", _FACETS))
+
+
+_OLD = "version LIKE '1.%'"
+_RECOMMEND = f"""{_JSON},
+e AS (SELECT profile_seq, template_pos, p.submission_profile_id, p.body->>'$.status' AS status, t->>'$.template_id' AS template_id, t->>'$.version' AS version, t->>'$.diversity_fingerprint' AS fingerprint,
+  (t->'$.facets.medium')::VARCHAR[] AS medium, (t->'$.facets.business_function')::VARCHAR[] AS jobs FROM t JOIN profiles p USING (profile_seq) WHERE json_type(t) = 'OBJECT' AND t->>'$.template_id' IS NOT NULL AND t->>'$.version' IS NOT NULL),
+catalog AS (SELECT DISTINCT template_id, version, CASE WHEN {_OLD} THEN 'deprecated' ELSE 'released' END AS release_status FROM e),
+reviewed AS (SELECT DISTINCT template_id, version, submission_profile_id, fingerprint, medium, jobs FROM e WHERE status = 'reviewed'),
+w AS (SELECT template_id, version, row_number() OVER (ORDER BY profile_seq DESC) AS back FROM e WHERE template_pos = 0 QUALIFY back <= 20),
+known AS (SELECT w.*, r.submission_profile_id, r.fingerprint FROM w LEFT JOIN (SELECT DISTINCT template_id, version, submission_profile_id, fingerprint FROM reviewed) r USING (template_id, version)),
+counted AS (SELECT r.*, release_status, coalesce((SELECT count(*) FROM w WHERE w.template_id = r.template_id AND w.version = r.version), 0) AS exact, coalesce((SELECT bool_or(back = 1) FROM w WHERE w.template_id = r.template_id AND w.version = r.version), false) AS last,
+  (SELECT count(*) FROM known k WHERE k.submission_profile_id = r.submission_profile_id) AS lineage, (SELECT count(*) FROM known k WHERE k.fingerprint = r.fingerprint) AS alike
+  FROM (SELECT DISTINCT template_id, version, submission_profile_id, fingerprint FROM reviewed WHERE list_contains(medium, 'xlsx') AND list_contains(jobs, 'treasury')) r JOIN catalog USING (template_id, version))"""
+
+
 @query(
-    f"""WITH {_WINDOW}, users AS (SELECT DISTINCT user_id FROM events), types AS (SELECT event_type, count(*) AS total FROM events GROUP BY 1),
-    c AS (SELECT user_id, event_type, count(*) AS exact, max(back = 1) AS consecutive FROM w GROUP BY ALL)
-    SELECT user_id, event_type, coalesce(exact, 0) AS exact, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(exact, 0), total DESC, event_type) AS rank
-    FROM users CROSS JOIN types LEFT JOIN c USING (user_id, event_type) WHERE NOT coalesce(consecutive, false)"""
+    f"""WITH {_RECOMMEND} SELECT row_number() OVER (ORDER BY release_status = 'deprecated', exact > 0, lineage, alike, submission_profile_id, template_id, version) AS rank, template_id, version, release_status, submission_profile_id, fingerprint, exact, lineage, alike,
+    list_concat(['reviewed_profile', 'profile_compatible', 'exact_not_recent'], CASE WHEN lineage > 0 THEN ['submission_lineage_repeated'] ELSE [] END, CASE WHEN alike > 0 THEN ['diversity_fingerprint_repeated'] ELSE [] END) AS reasons
+    FROM counted WHERE NOT last AND exact = 0"""
 )
-def recommend_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Event types ranked for each user by recent use; the very last one is not offered again."""
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
-    counts = catalog.window_counts(catalog.last_uses(events, 5, ["user_id"], "ts", ["event_id"]), ["user_id"], "event_type")
-    # the vocabulary of event types is small and fixed; as one array it joins without a product of tables
-    types = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("total")).agg(F.collect_list(F.struct("event_type", "total")).alias("types"))
-    offered = events.select("user_id").distinct().join(F.broadcast(types)).select("user_id", F.explode("types").alias("t")).select("user_id", "t.*")
-    joined = offered.join(counts, ["user_id", "event_type"], "left").fillna(0, ["exact"]).fillna(False, ["consecutive"]).filter(~F.col("consecutive"))
-    order = Window.partitionBy("user_id").orderBy("exact", F.col("total").desc(), "event_type")
-    return joined.select("user_id", "event_type", "exact", F.row_number().over(order).cast("bigint").alias("rank"))
+def recommend(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked reviewed templates for a treasury workbook, those used in the last twenty deliveries left out."""
+    entries = durable(_templates(spark, folder))
+    key = ["template_id", "version"]
+    known = entries.select(*key).distinct().select(*key, F.when(F.col("version").startswith("1."), "deprecated").otherwise("released").alias("release_status"), F.array().cast("array<string>").alias("capabilities"))
+    facets = F.create_map(*[x for c in ("medium", "business_function") for x in (F.lit(c), F.col(f"facets.{c}"))])
+    empty = F.lit(None).cast("array<struct<facet:string,value:string,change_kind:string>>")
+    # a profile delivered again is one profile; maps cannot be compared, their entries can
+    profiles = entries.select(*key, "submission_profile_id", "status", "fingerprint", "facets").distinct().select(*key, "submission_profile_id", "status", "fingerprint", facets.alias("facets"), empty.alias("qualified"), F.array().cast("array<string>").alias("material_kinds"))
+    history = entries.filter("template_pos = 0").select(F.col("profile_seq").alias("seq"), *key)
+    request = catalog.Request(facets={"medium": "xlsx", "business_function": "treasury"}, window=20)
+    return catalog.recommend(profiles, known, history, request)
 
 
 # C, G: fingerprints
@@ -363,16 +394,17 @@ def diversity_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT p_brand, sha256(string_agg(p_name || chr(0) || sha256(p_type) || chr(10), '' ORDER BY p_name, sha256(p_type))) AS manifest FROM part GROUP BY 1")
 def manifest_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").groupBy("p_brand").agg(scalars.manifest_hash(F.col("p_name"), F.sha2("p_type", 256)).alias("manifest"))
+    return scalars.manifests(table(spark, folder, "part").select("p_brand", "p_name", F.sha2("p_type", 256).alias("h")), "p_brand", "p_name", "h")
 
 
 @query(
-    """WITH f AS (SELECT p_brand, sha256(p_type || '|' || p_size) AS fp, count(*) AS n FROM part GROUP BY ALL)
-    SELECT p_brand, sum(n)::BIGINT AS items, max(n) AS largest, max(n) / sum(n)::DOUBLE AS share FROM f GROUP BY 1 HAVING sum(n) >= 3 AND max(n) / sum(n)::DOUBLE >= 0.001"""
+    """WITH f AS (SELECT entity_code, coalesce(status_code, '') AS fp, count(*) AS n FROM source_rows WHERE entity_code IS NOT NULL GROUP BY ALL)
+    SELECT entity_code, sum(n)::BIGINT AS items, max(n) AS largest, max(n) / sum(n)::DOUBLE AS share FROM f GROUP BY 1 HAVING sum(n) >= 3 AND max(n) / sum(n)::DOUBLE >= 0.55"""
 )
 def fingerprint_convergence(spark: SparkSession, folder: str) -> DataFrame:
-    parts = table(spark, folder, "part").select("p_brand", "p_partkey", F.sha2(F.concat_ws("|", "p_type", "p_size"), 256).alias("fp"))
-    return integrity.converging(parts, "p_brand", "p_partkey", "fp", share=0.001)
+    """Entities most of whose rows look alike: 55 % of them have one status."""
+    rows = table(spark, folder, "source_rows").filter("entity_code is not null").select("entity_code", F.lit(1).alias("one"), F.coalesce("status_code", F.lit("")).alias("fp"))
+    return integrity.converging(rows, "entity_code", "one", "fp", share=0.55)
 
 
 # C: texts
@@ -508,15 +540,11 @@ def registry_match(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.registry_differences(flat.select(F.trim("child_key").alias("blueprint_id")), table(spark, folder, "blueprints").filter("blueprint_id is not null"), ["blueprint_id"])
 
 
-@query(
-    """WITH a AS (SELECT line_id AS k, file_name, line_no FROM raw_source_lines), d AS (SELECT file_name, line_no, count(*) AS n, count(DISTINCT raw_line) AS texts FROM raw_source_lines GROUP BY ALL HAVING count(*) > 1)
-    SELECT file_name, line_no, n, texts FROM d"""
-)
+@query("SELECT file_name, md5(raw_line) AS digest, count(*) AS n FROM raw_source_lines WHERE raw_line IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def resent_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of a file that came more than once, and whether with one text."""
-    lines = table(spark, folder, "raw_source_lines").select("file_name", "line_no", F.coalesce(F.sha2("raw_line", 256), F.lit("")).alias("h"))
-    by_text = lines.groupBy("file_name", "line_no", "h").agg(F.count(F.lit(1)).alias("n"))
-    return by_text.groupBy("file_name", "line_no").agg(F.sum("n").alias("n"), F.count_if(F.col("h") != "").alias("texts")).filter("n > 1")
+    """Lines that came more than once in a file. They are grouped by 256 bits of hash, so no text is shuffled."""
+    lines = table(spark, folder, "raw_source_lines").filter("raw_line is not null").select("file_name", F.sha2("raw_line", 256).alias("h"), F.md5("raw_line").alias("digest"))
+    return carriers.duplicate_rows(lines).select("file_name", "digest", "n")
 
 
 @query(f"WITH {_LINES} SELECT file_name, count(*) AS lines, count(*) FILTER (line_id IN (SELECT line_id FROM reasons)) AS rejected FROM lines GROUP BY 1")
