@@ -21,23 +21,39 @@ _UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError,
 
 
 def _safe(each):  # noqa: ANN001, ANN202
-    """A parser that gives no rows for packages that cannot be read (shape_findings tells of those)."""
+    """A parser that gives what it could read of a package; parts it could not read are rows of ``surfaces``."""
 
     def run(path: str, data: bytes) -> Iterator[dict]:
         try:
-            yield from list(each(path, data))
+            yield from each(path, data)
         except _UNREADABLE:
             return
 
     return run
 
 
+def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    """A part's root; None where it is absent or cannot be read."""
+    try:
+        return a._xml(z, name)
+    except _UNREADABLE:
+        return None
+
+
 def _surfaces(path: str, data: bytes) -> Iterator[dict]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in z.namelist():
-            if not name.endswith((".xml", ".rels")):
+    try:
+        package = zipfile.ZipFile(io.BytesIO(data))
+    except _UNREADABLE:
+        yield {"path": path, "member": "", "surface": "malformed", "text": "package"}
+        return
+    with package as z:
+        for name in dict.fromkeys(z.namelist()):
+            if not name.lower().endswith((".xml", ".rels", ".vml")):
+                continue
+            root = _part(z, name)
+            if root is None:
+                yield {"path": path, "member": name, "surface": "malformed", "text": "part"}
                 continue
-            root = a._xml(z, name)
             # runs of one item are one text, so that a token cut over runs is seen whole
             items = [e for e in root.iter() if a._local(e.tag) in ("si", "is", "p")]
             for e in items:
@@ -49,7 +65,11 @@ def _surfaces(path: str, data: bytes) -> Iterator[dict]:
 
 
 def surfaces(files: DataFrame) -> DataFrame:
-    """(path, member, surface, text): every text, tail and attribute of a package's XML, and items with their runs joined."""
+    """(path, member, surface, text): every text, tail and attribute of a package's XML, and items with their runs joined.
+
+    A part that cannot be read is one row of surface ``malformed``, and hides no other part; so is a
+    package that is none.
+    """
     schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("surface", pa.string()), ("text", pa.string())])
     return a._expand(files, _safe(_surfaces), schema, "path string, member string, surface string, text string")
 
@@ -69,11 +89,12 @@ def phrases(texts: DataFrame) -> DataFrame:
 def _properties(path: str, data: bytes) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        if "docProps/core.xml" in names:
-            for e in a._xml(z, "docProps/core.xml"):
+        core, custom = (_part(z, n) if n in names else None for n in ("docProps/core.xml", "docProps/custom.xml"))
+        if core is not None:
+            for e in core:
                 yield {"path": path, "kind": "core", "name": a._local(e.tag), "value": e.text}
-        if "docProps/custom.xml" in names:
-            for e in a._all(a._xml(z, "docProps/custom.xml"), "property"):
+        if custom is not None:
+            for e in a._all(custom, "property"):
                 yield {"path": path, "kind": "custom", "name": e.get("name"), "value": "".join(e.itertext())}
 
 
@@ -101,8 +122,63 @@ def number_formats(files: DataFrame) -> DataFrame:
     return a._expand(files, _safe(_formats), schema, "path string, style int, format_id int, format string")
 
 
-def layouts(cells: DataFrame, formats: DataFrame) -> DataFrame:
-    """(path, sheet, fingerprint): a hash of how often each style and number format occurs in a sheet."""
+def _columns(path: str, data: bytes) -> Iterator[dict]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        targets = {r["target"]: r["id"] for r in a.relations(z) if r["source"] == "xl/workbook.xml"}
+        sheets = {a._attribute(s, "id"): s.get("name") for s in a._all(a._xml(z, "xl/workbook.xml"), "sheet")}
+        for name in sorted(targets):
+            root = _part(z, name) if name in z.namelist() else None
+            if root is None or targets[name] not in sheets:
+                continue
+            grid = next((v.get("showGridLines") for v in a._all(root, "sheetView")), None)
+            yield {"path": path, "sheet": sheets[targets[name]], "first": None, "last": None, "width": None, "hidden": False, "gridlines": grid not in ("0", "false")}
+            for c in a._all(root, "col"):
+                yield {"path": path, "sheet": sheets[targets[name]], "first": int(c.get("min") or 0), "last": int(c.get("max") or c.get("min") or 0), "width": c.get("width"), "hidden": c.get("hidden") in ("1", "true"), "gridlines": None}
+
+
+def column_runs(files: DataFrame) -> DataFrame:
+    """(path, sheet, first, last, width, hidden, gridlines): runs of columns as declared, and one row a sheet (first null) with its gridlines."""
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("width", pa.string()), ("hidden", pa.bool_()), ("gridlines", pa.bool_())])
+    return a._expand(files, _safe(_columns), schema, "path string, sheet string, first int, last int, width string, hidden boolean, gridlines boolean")
+
+
+def _links(path: str, data: bytes) -> Iterator[dict]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for r in a.relations(z):
+            yield {"path": path, **r}
+
+
+def relationships(files: DataFrame) -> DataFrame:
+    """(path, source, id, type, target, external) of a package's parts."""
+    schema = pa.schema([("path", pa.string()), ("source", pa.string()), ("id", pa.string()), ("type", pa.string()), ("target", pa.string()), ("external", pa.bool_())])
+    return a._expand(files, _safe(_links), schema, "path string, source string, id string, type string, target string, external boolean")
+
+
+def _native(path: str, data: bytes) -> Iterator[dict]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        links = [r for r in a.relations(z) if not r["external"]]
+        sheets = {r["target"]: r["id"] for r in links if r["source"] == "xl/workbook.xml"}
+        called = {a._attribute(s, "id"): s.get("name") for s in a._all(a._xml(z, "xl/workbook.xml"), "sheet")}
+        for r in links:
+            root = _part(z, r["target"]) if r["type"] == "table" and r["target"] in names else None
+            if root is not None:
+                yield {"path": path, "sheet": called.get(sheets.get(r["source"])), "name": root.get("displayName") or root.get("name"), "ref": root.get("ref"), "columns": [c.get("name") for c in a._all(root, "tableColumn")]}
+
+
+def native_tables(files: DataFrame) -> DataFrame:
+    """(path, sheet, name, ref, columns) of the tables that a workbook's sheets hold."""
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("name", pa.string()), ("ref", pa.string()), ("columns", pa.list_(pa.string()))])
+    return a._expand(files, _safe(_native), schema, "path string, sheet string, name string, ref string, columns array<string>")
+
+
+def layouts(cells: DataFrame, formats: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(path, sheet, fingerprint): a hash of how often each style and number format occurs in a sheet, and
+    of its gridlines and column widths (runs: what ``column_runs`` gives)."""
+    if runs is not None:
+        shape = runs.groupBy("path", "sheet").agg(F.max("gridlines").alias("grid"), F.array_sort(F.collect_list(F.struct("first", "last", "width"))).alias("widths"))  # a sheet has few runs
+        plain = layouts(cells, formats)
+        return plain.join(shape, ["path", "sheet"], "left").select("path", "sheet", F.sha2(F.to_json(F.struct("fingerprint", "grid", "widths")), 256).alias("fingerprint"))
     counts = cells.join(formats, ["path", "style"], "left").groupBy("path", "sheet", "style", "format_id").agg(F.count(F.lit(1)).alias("n"))
     # a sheet's styles are at most a package's, some tens of thousands
     return counts.groupBy("path", "sheet").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("style", F.coalesce("format_id", F.lit(-1)).alias("format_id"), "n")))), 256).alias("fingerprint"))
@@ -161,10 +237,15 @@ def findings(files: DataFrame, allow_hidden: Sequence[str] = (), require_formula
     surplus = F.when(F.col("name").contains("/embeddings/"), "embedded_object").when(F.col("name").rlike(r"(?i)/(threaded)?comments?[^/]*\.xml$"), "comments").when(F.col("name").startswith("customXml/"), "custom_xml").when(F.col("name").startswith("xl/externalLinks/"), "external_link").when(F.col("name") == "xl/connections.xml", "connection")
     for rule in ("embedded_object", "comments", "custom_xml", "external_link", "connection"):
         parts.append(finding(members.filter(surplus == rule), rule, owner, F.col("name")))
+    parts += [
+        finding(texts.filter("surface = 'malformed'"), "malformed_part", path, F.concat_ws(": ", "text", F.nullif(F.col("member"), F.lit("")))),
+        finding(column_runs(files).filter(F.col("hidden") & shown), "hidden_columns", path, F.concat_ws("!", "sheet", F.concat_ws(":", "first", "last"))),
+        finding(relationships(files).filter("external"), "external_relationship", path, F.concat_ws(" ", "type", "target")),
+    ]
     if require_formulas:
         none = files.filter("lower(name) like '%.xlsx'").select("path").join(cells.filter("formula is not null").select("path").distinct(), "path", "left_anti")
         parts.append(finding(none, "no_formulas", path, F.lit("")))
-    return together(parts)
+    return together(parts).orderBy("rule", "subject", "detail")
 
 
 def proof_problems(proofs: DataFrame, required: Sequence[str]) -> DataFrame:

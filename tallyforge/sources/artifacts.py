@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.scalars import FORMULA_ERRORS, REPLY, relation_target
+from tallyforge.sources import pdf
 from tallyforge.sources.carriers import tally
 
 #: Bounds: a member's bytes, archives within archives, a PNG's pixels and its decoded bytes.
 MEMBER_BYTES, NESTING, PNG_PIXELS, PNG_BYTES = 256 << 20, 3, 8_000_000, 64 << 20
+#: The smallest side of a plausible page, in points, and of an image, in pixels.
+SMALLEST_PAGE, SMALLEST_IMAGE = 16, 2
 
 _MEMBERS = pa.schema([("container", pa.string()), ("name", pa.string()), ("type", pa.string()), ("bytes", pa.int64()), ("content", pa.binary()), ("problem", pa.string())])
 
@@ -149,7 +153,11 @@ def _cells(path: str, data: bytes) -> Iterator[dict]:
             part = targets.get(_attribute(s, "id") or "")
             if part not in names:
                 continue
-            for row in _all(_xml(z, part), "row"):
+            try:
+                sheet_rows = list(_all(_xml(z, part), "row"))
+            except (ElementTree.ParseError, ValueError):
+                continue  # surfaces tells of a part that cannot be read; the other sheets are read
+            for row in sheet_rows:
                 for c in (e for e in row if _local(e.tag) == "c"):
                     kind = c.get("t") or "n"
                     raw = next((e.text for e in c if _local(e.tag) == "v"), None)
@@ -239,11 +247,12 @@ def _readable(message: email.message.EmailMessage) -> Iterator[str]:
 def _mail(data: bytes) -> dict:
     message = email.message_from_bytes(data, policy=email.policy.default)
     shown = "\n".join(_readable(message))
-    attached = [(a.get_filename() or "", a.get_content_type(), a.get_payload(decode=True) or b"") for a in message.iter_attachments()]
+    attached = [(a.get_filename() or "", a.get_content_type(), a.get_payload(decode=True) or b"", a.get_content_charset()) for a in message.iter_attachments()]
     return {
         "subject": str(message["Subject"] or ""),
         "missing_headers": [h for h in ("From", "To", "Date", "Subject", "Message-ID") if not message[h]],
-        "attachments": [{"name": n, "type": t, "binary": is_binary(n, raw)} for n, t, raw in attached],
+        "message_id": str(message["Message-ID"] or ""),
+        "attachments": [{"name": n, "type": t, "binary": is_binary(n, raw, charset)} for n, t, raw, charset in attached],
         "body_characters": len(shown),
         "reply_markers": len(re.findall(REPLY, shown)),
     }
@@ -251,84 +260,75 @@ def _mail(data: bytes) -> dict:
 
 #: Suffixes and first bytes of attachments that hold no text.
 BINARY_SUFFIXES = ("7z", "bin", "bz2", "docx", "exe", "gz", "gzip", "pdf", "pptx", "rar", "tar", "xlsx", "xz", "zip")
-BINARY_STARTS = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08", b"\x1f\x8b", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"\xd0\xcf\x11\xe0", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"%PDF-")
+BINARY_STARTS = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08", b"\x1f\x8b", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"\xd0\xcf\x11\xe0", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]")
+
+
+def _executable(data: bytes) -> bool:
+    """An old program header that leads to a newer one (PE, NE, LE or LX)."""
+    if len(data) < 64 or data[:2] != b"MZ":
+        return False
+    at = struct.unpack_from("<I", data, 60)[0]
+    return data[at : at + 4] == b"PE\0\0" or (at > 0 and data[at : at + 2] in (b"NE", b"LE", b"LX"))
 
 
-def is_binary(name: str, data: bytes) -> bool:
-    """By suffix, first bytes, executable headers, or control characters in what should be text."""
-    if _suffix(name) in BINARY_SUFFIXES or data.startswith(BINARY_STARTS):
+def is_binary(name: str, data: bytes, charset: str | None = None) -> bool:
+    """By suffix, first bytes, program headers, a whole PDF's structure, bytes that its character set does
+    not have, or control characters in what should be text. An unknown character set is binary."""
+    if _suffix(name) in BINARY_SUFFIXES or data.startswith(BINARY_STARTS) or _executable(data):
+        return True
+    if b"%PDF-" in data[:1024] and pdf.inspect(data)["problems"] in ([], ["compressed"]):
         return True
-    if data[:2] == b"MZ" and len(data) >= 64:
-        at = struct.unpack_from("<I", data, 60)[0]
-        if data[at : at + 4] == b"PE\0\0":
-            return True
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+        text = data.decode(charset or "utf-8")
+    except (LookupError, UnicodeError):
         return True
-    return any(ord(c) < 32 and c not in "\t\n\r\f" for c in text)
+    return _CONTROL.search(text) is not None
 
 
-# PDF
+# PNG
 
-_OBJECT = re.compile(rb"(?<![^\s()<>\[\]{}/%])(\d+)\s+(\d+)\s+obj\b")
-_REFERENCE = rb"(\d+)\s+\d+\s+R"
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 
 
-def _pdf(data: bytes) -> dict:
-    """Page tree of a PDF with plain objects: pages, whether the tree's counts hold, and the smallest page.
+def _unfiltered(lines: np.ndarray, step: int = 1) -> np.ndarray:
+    """Scanlines (filter, bytes...) with their filters undone: each byte is told from those left and above.
 
-    Objects within compressed streams are not looked into; such files are told as ``compressed``.
+    step: bytes of a pixel; 1 for palette images, the only ones whose values are looked at.
     """
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("no PDF header")
-    objects: dict[int, bytes] = {}
-    for m in _OBJECT.finditer(data):
-        end = data.find(b"endobj", m.end())
-        objects[int(m[1])] = data[m.end() : end if end >= 0 else len(data)].split(b"stream", 1)[0]
-    root = re.search(rb"/Root\s+" + _REFERENCE, data)
-    catalog = objects.get(int(root[1]), b"") if root else b""
-    top = re.search(rb"/Pages\s+" + _REFERENCE, catalog)
-    if not top:
-        return {"pages": None, "compressed": b"/ObjStm" in data, "encrypted": b"/Encrypt" in data, "objects": len(objects)}
-    problems: list[str] = []
-    boxes: list[tuple[float, float]] = []
-
-    def walk(n: int, parent: int | None, box: bytes | None, path: frozenset[int]) -> int:
-        if n in path:
-            problems.append("cycle")
-            return 0
-        body = objects.get(n)
-        if body is None:
-            problems.append("missing_object")
-            return 0
-        own = re.search(rb"/MediaBox\s*\[([^\]]*)\]", body)
-        box = own[1] if own else box
-        back = re.search(rb"/Parent\s+" + _REFERENCE, body)
-        if parent is not None and (not back or int(back[1]) != parent):
-            problems.append("parent_differs")
-        kids = re.search(rb"/Kids\s*\[([^\]]*)\]", body)
-        if kids is None:
-            if box:
-                x = [float(v) for v in box.split()[:4]]
-                boxes.append((abs(x[2] - x[0]), abs(x[3] - x[1])))
-            else:
-                problems.append("no_media_box")
-            return 1
-        found = sum(walk(int(k), n, box, path | {n}) for k in re.findall(_REFERENCE, kids[1]))
-        count = re.search(rb"/Count\s+(\d+)", body)
-        if not count or int(count[1]) != found:
-            problems.append("count_differs")
-        return found
-
-    pages = walk(int(top[1]), None, None, frozenset())
-    return {"pages": pages, "problems": sorted(set(problems)), "smallest_side": min((min(b) for b in boxes), default=None), "encrypted": b"/Encrypt" in data, "compressed": b"/ObjStm" in data, "objects": len(objects)}
-
+    out = np.zeros((len(lines), lines.shape[1] - 1), np.uint8)
+    above = np.zeros(lines.shape[1] - 1, np.uint8)
+    for r, line in enumerate(lines):
+        kind, got = int(line[0]), line[1:]
+        if kind == 0:
+            out[r] = got
+        elif kind == 1:  # sums from the left wrap at 256, and may be taken all at once
+            for lane in range(step):
+                out[r, lane::step] = np.cumsum(got[lane::step], dtype=np.uint64).astype(np.uint8)
+        elif kind == 2:
+            out[r] = got + above
+        else:
+            row, up = got.tolist(), above.tolist()
+            for i, x in enumerate(row):
+                left, b, corner = (row[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+                if kind == 3:
+                    guess = (left + b) >> 1
+                else:
+                    to_left, to_up, to_corner = abs(b - corner), abs(left - corner), abs(left + b - 2 * corner)
+                    guess = left if to_left <= to_up and to_left <= to_corner else b if to_up <= to_corner else corner
+                row[i] = (x + guess) & 255
+            out[r] = row
+        above = out[r]
+    return out
 
-# PNG
 
-_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+def _unpacked(rows: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """Values of ``depth`` bits out of bytes; the bits that fill a row's last byte are left out."""
+    if depth == 8:
+        return rows[:, :width]
+    bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(len(rows), width, depth)
+    return bits @ (1 << np.arange(depth - 1, -1, -1))
 
 
 def _png(data: bytes) -> dict:
@@ -380,9 +380,12 @@ def _png(data: bytes) -> dict:
                 problems.append("raster_size")
             else:
                 place = 0
-                for b, h in rows:
-                    if any(raw[place + r * (b + 1)] > 4 for r in range(h)):
+                for (b, h), (w, _) in zip(rows, [p for p in passes if p[0] > 0 and p[1] > 0], strict=True):
+                    lines = np.frombuffer(raw, np.uint8, (b + 1) * h, place).reshape(h, b + 1)
+                    if (lines[:, 0] > 4).any():
                         problems.append("filter")
+                    elif color == 3 and palette and int(_unpacked(_unfiltered(lines), w, depth).max()) >= palette:
+                        problems.append("palette_index")
                     place += (b + 1) * h
         except zlib.error:
             problems.append("compressed_data")
@@ -405,7 +408,30 @@ def _csv(data: bytes) -> dict:
     return dict(zip(("rows", "columns_max", "blank_rows"), tally(data), strict=True))
 
 
-INSPECTORS: dict[str, Callable[[bytes], dict]] = {"csv": _csv, "docx": _docx, "eml": _mail, "pdf": _pdf, "png": _png, "txt": _text, "xlsx": _xlsx}
+INSPECTORS: dict[str, Callable[[bytes], dict]] = {"csv": _csv, "docx": _docx, "eml": _mail, "pdf": pdf.inspect, "png": _png, "txt": _text, "xlsx": _xlsx}
+
+
+#: The main part of each kind of package, and what its content type ends with.
+MAIN_PARTS = {"docx": ("word/document.xml", "wordprocessingml.document.main+xml"), "xlsx": ("xl/workbook.xml", "spreadsheetml.sheet.main+xml")}
+
+
+def _parts(z: zipfile.ZipFile, kind: str) -> list[str]:
+    """Problems of a package's content types and of the parts that its main part needs."""
+    names, (main, ending) = set(z.namelist()), MAIN_PARTS[kind]
+    if "[Content_Types].xml" not in names:
+        return ["content_types"]
+    if main not in names:
+        return ["main_part"]
+    try:
+        kinds = {(o.get("PartName") or "").lstrip("/"): o.get("ContentType") or "" for o in _all(_xml(z, "[Content_Types].xml"), "Override")}
+        out = ["content_types"] * (not kinds.get(main, "").endswith(ending))
+        if kind == "xlsx":
+            targets = {r["id"]: r["target"] for r in relations(z) if r["source"] == main and not r["external"]}
+            sheets = [targets.get(_attribute(s, "id") or "") for s in _all(_xml(z, main), "sheet")]
+            out += ["worksheet_target"] * (not sheets or any(t not in names for t in sheets))
+        return out
+    except (ElementTree.ParseError, ValueError, KeyError):
+        return ["content_types"]
 
 
 def shape_findings(files: DataFrame) -> DataFrame:
@@ -426,13 +452,17 @@ def shape_findings(files: DataFrame) -> DataFrame:
         if kind in ("docx", "xlsx") and not problems:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 names = z.namelist()
-                problems += ["duplicate_member"] * (len(names) != len(set(names))) + ["content_types"] * ("[Content_Types].xml" not in names)
+                problems += ["duplicate_member"] * (len(names) != len(set(names))) + _parts(z, kind)
         if kind == "csv" and (d.get("rows", 0) < 2 or d.get("columns_max", 0) < 2):
             problems.append("too_small")
         if kind == "eml":
             problems += [f"missing_{h.lower()}" for h in d.get("missing_headers", [])] + ["no_body"] * (not d.get("body_characters"))
         if kind == "pdf" and not d.get("pages"):
             problems.append("no_pages")
+        if kind == "pdf" and d.get("pages") and (d.get("smallest_side") or 0) < SMALLEST_PAGE:
+            problems.append("page_too_small")
+        if kind == "png" and min(d.get("width", 0), d.get("height", 0)) < SMALLEST_IMAGE:
+            problems.append("image_too_small")
         yield from ({"name": path, "type": kind, "problem": p} for p in sorted(set(problems)))
 
     schema = pa.schema([("name", pa.string()), ("type", pa.string()), ("problem", pa.string())])

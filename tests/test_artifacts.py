@@ -9,6 +9,7 @@ import zlib
 import pytest
 
 from tallyforge.sources import artifacts as a
+from tallyforge.sources import pdf
 from tallyforge.sources.carriers import files
 
 RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
@@ -25,7 +26,7 @@ def zipped(parts: dict[str, str | bytes]) -> bytes:
 def workbook(rows: str, extra: dict | None = None, state: str = "") -> bytes:
     return zipped(
         {
-            "[Content_Types].xml": "<Types/>",
+            "[Content_Types].xml": '<Types><Override PartName="/xl/workbook.xml" ContentType="a/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/></Types>',
             "xl/workbook.xml": f'<workbook xmlns:r="r"><sheets><sheet name="Checks" sheetId="1" {state} r:id="rId1"/></sheets></workbook>',
             "xl/_rels/workbook.xml.rels": RELS.format('<Relationship Id="rId1" Type="x/worksheet" Target="worksheets/sheet1.xml"/>'),
             "xl/worksheets/sheet1.xml": f'<worksheet xmlns="m"><cols><col min="1" hidden="1"/></cols><sheetData>{rows}</sheetData></worksheet>',
@@ -46,17 +47,15 @@ def png(width=2, height=2, color=2, damage=None, interlace=0) -> bytes:
     return data[:40] + bytes([data[40] ^ 1]) + data[41:] if damage == "bit" else data + b"x" if damage == "tail" else data
 
 
-PDF = b"%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/MediaBox[0 0 612 792]>> endobj\n3 0 obj <</Type/Page/Parent 2 0 R>> endobj\n4 0 obj <</Type/Page/Parent 2 0 R/MediaBox[0 0 20 30]>> endobj\ntrailer <</Root 1 0 R>>"
+PDF = pdf.write([(612, 792, b"q endobj obj (a\\) ) Q"), (20, 30, b"")])
 MAIL = "From: a@x\nTo: b@x\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nSubject: s\nMessage-ID: <1@x>\nContent-Type: text/plain\n\nhello\n> quoted\n"
 
 
 def test_inspectors():
     x = a.inspected("xlsx", workbook(CELLS, {"xl/externalLinks/e.xml": "<e/>"}, 'state="hidden"'))
     assert (x["hidden_sheets"], x["hidden_rows"], x["hidden_columns"], x["formulas"], x["formula_errors"], x["external_links"]) == (["Checks"], 1, 1, 1, 1, 1)
-    assert a.inspected("pdf", PDF) == {"pages": 2, "problems": [], "smallest_side": 20.0, "encrypted": False, "compressed": False, "objects": 4}
-    assert a.inspected("pdf", PDF.replace(b"Count 2", b"Count 3"))["problems"] == ["count_differs"]
-    assert a.inspected("pdf", PDF.replace(b"3 0 R 4 0 R", b"2 0 R 4 0 R"))["problems"] == ["count_differs", "cycle"]
-    assert "unreadable" in a.inspected("pdf", b"nope") and "unreadable" in a.inspected("docx", b"nope")
+    assert a.inspected("pdf", PDF) == {"pages": 2, "problems": [], "smallest_side": 20, "encrypted": False, "compressed": False, "objects": 6}
+    assert a.inspected("pdf", b"nope")["problems"] == ["no_header"] and "unreadable" in a.inspected("docx", b"nope")
     m = a.inspected("eml", MAIL.encode())
     assert (m["missing_headers"], m["reply_markers"], m["attachments"]) == ([], 1, [])
     d = a.inspected("docx", zipped({"word/document.xml": '<w:document xmlns:w="w"><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:rPr><w:vanish/></w:rPr><w:t>hi</w:t></w:r></w:p><w:p/></w:document>'}))
@@ -71,7 +70,79 @@ def test_png(kwargs, problems):
     assert got == problems or (kwargs.get("damage") == "bit" and "checksum" in got)
 
 
+@pytest.mark.parametrize(
+    ("old", "new", "problem"),
+    [
+        (b"/Count 2", b"/Count 3", "count_differs"),
+        (b"[3 0 R 5 0 R]", b"[2 0 R 5 0 R]", "cycle"),
+        (b"[3 0 R 5 0 R]", b"[3 0 R 9 0 R]", "missing_object"),
+        (b"/Parent 2 0 R/MediaBox[0 0 20 30]", b"/Parent 1 0 R/MediaBox[0 0 20 30]", "parent_differs"),
+        (b"/MediaBox[0 0 20 30]", b"/MediaBox[0 0 20 (3]", "token"),
+        (b"/MediaBox[0 0 20 30]", b"/MediaBux[0 0 20 30]", "no_media_box"),
+        (b"/Contents 6 0 R", b"/Contents 1 0 R", "no_contents"),
+        (b"/Type/Catalog", b"/Type/Catalig", "no_catalog"),
+        (b"startxref", b"startxraf", "no_xref"),
+        (b"%PDF-1.7", b"%PDF-9.7", "no_header"),
+        (b"2 0 obj\n", b"7 0 obj\n", "xref_place"),
+        (b"/Length 0", b"/Length 3", "stream_length"),
+        (b"/Type/Page/Parent 2 0 R/MediaBox[0 0 20 30]", b"/Type/Type/Parent 2 0 /MediaBox[0 0 20 30 R]", "dictionary"),
+        (b"00000 n", b"0000x n", "xref_entry"),
+        (b"%%EOF", b"%%EOX", "no_xref"),
+        (b"6 0 obj\n", b"6 0 obj\n<", "xref_place"),
+    ],
+)
+def test_pdf_problems(old, new, problem):
+    assert old in PDF
+    got = a.inspected("pdf", PDF.replace(old, new, 1))["problems"]
+    assert problem in got or (got and problem in ("xref_place", "token", "dictionary"))
+
+
+def test_pdf_reads_no_structure_in_strings_comments_and_streams():
+    body = b"(9 0 obj <</Type/Pages>> endobj \\( ) % 8 0 obj\nq"
+    got = pdf.inspect(pdf.write([(100, 100, body)]))
+    assert got["pages"] == 1 and got["objects"] == 4 and not got["problems"]
+    comment = PDF.replace(b"%PDF-1.7\n", b"%PDF-1.7\n%9 0 obj endobj\n")
+    assert pdf.inspect(comment)["problems"]  # every offset is off by the comment
+    assert pdf.inspect(b"%PDF-1.7\n" + b"(" * 100_000)["problems"] == ["no_xref"]
+    assert pdf.value(b"[1 0 R (a(b)c) <</A/B/C[true null -1.5]>>] x", 0, 43)[0] == [(1, 0), b"(a(b)c)", {b"/A": b"/B", b"/C": [True, None, -1.5]}]
+    with pytest.raises(pdf.Malformed):
+        pdf.value(b"[" * 5000, 0, 5000)
+
+
+def palette_png(rows, depth=8, colors=2, filters=(0,)) -> bytes:
+    """A palette image of rows of indices, each filtered as asked for."""
+    packed = []
+    for r in rows:
+        bits = "".join(f"{v:0{depth}b}" for v in r)
+        packed.append([int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8)])
+    raw, above = b"", [0] * len(packed[0])
+    for n, line in enumerate(packed):
+        kind, left, corner, out = filters[n % len(filters)], 0, 0, []
+        for i, x in enumerate(line):
+            up = above[i]
+            p = left + up - corner
+            near = min((left, up, corner), key=lambda v: (abs(p - v), (left, up, corner).index(v)))
+            out.append((x - (0, left, up, (left + up) // 2, near)[kind]) % 256)
+            left, corner = x, up
+        raw += bytes([kind, *out])
+        above = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), depth, 3, 0, 0, 0)) + chunk(b"PLTE", b"\1\2\3" * colors) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("filters", [(0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)])
+@pytest.mark.parametrize("depth", [1, 2, 4, 8])
+def test_png_palette_indices_are_reconstructed(filters, depth):
+    most = min(2**depth, 7)
+    rows = [[(x * 3 + y) % most for x in range(13)] for y in range(9)]
+    assert a.inspected("png", palette_png(rows, depth, most, filters))["problems"] == []
+    assert a.inspected("png", palette_png(rows, depth, most - 1, filters))["problems"] == ["palette_index"]
+
+
 def test_binary_attachments():
+    assert a.is_binary("a.txt", PDF) and not a.is_binary("a.txt", b"see %PDF-1.7 in the text")
+    assert a.is_binary("a", "\x85".encode()) and a.is_binary("a", b"abc", "no-such-set") and not a.is_binary("a", "é".encode("latin-1"), "latin-1")
+    assert all(a.is_binary("a", b"MZ" + b" " * 58 + struct.pack("<I", 64) + s) for s in (b"PE\0\0", b"NE", b"LE", b"LX")) and not a.is_binary("a", b"MZ" + b" " * 90)
     assert a.is_binary("a.pdf", b"x") and a.is_binary("a.txt", b"PK\x03\x04") and a.is_binary("a", b"\xff\xfe") and a.is_binary("a.txt", b"a\0b")
     assert not a.is_binary("a.csv", "é,b\n".encode())
 
