@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from tallyforge.functions import documents, scalars
 from tallyforge.operators import carriers, catalog, findings, integrity, library, malformed, nested
-from tallyforge.plans.records import _JSON, _LINES
-from tallyforge.plans.reference import QUERIES, SQL, _rows, query
+from tallyforge.plans.records import _JSON, _LINES, _nth
+from tallyforge.plans.reference import _CLEAN, _CONTROLS, QUERIES, SQL, _controls, _money, _rows, query
 from tallyforge.session import durable
 from tallyforge.sources.tables import table
 
@@ -448,6 +448,32 @@ def reconciliation_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {_FLAT}, known AS (SELECT 'library/foundations/' || card_id || '.json' AS path FROM foundation_cards WHERE card_id IS NOT NULL)
+    SELECT DISTINCT path FROM card WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM known)"""
+)
+def declared_resources(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that templates declare and the library does not list."""
+    listed = table(spark, folder, "foundation_cards").filter("card_id is not null").select(F.concat(F.lit("library/foundations/"), F.col("card_id"), F.lit(".json")).alias("path"))
+    return integrity.unmatched(_kind(_flat(spark, folder), "foundation_card").filter("path is not null").select("path"), listed, ["path"]).distinct()
+
+
+@query(SQL["profile_findings"].replace("SELECT rule, count(*) AS n FROM f GROUP BY 1", "SELECT CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS findings FROM f"))
+def library_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of the gate before every use of the library."""
+    return findings.status(_profile_findings(spark, folder))
+
+
+_POPULATION = f"{_LINES.replace('judged', 'line_judged')}, src AS (SELECT DISTINCT {_nth(0)} AS source_row_id, {_nth(1)} AS entity_code, {_nth(2)} AS account_code, d::DATE AS transaction_date, {_nth(4)} AS description, dr::DECIMAL(18,2) AS debit, cr::DECIMAL(18,2) AS credit, {_nth(7)} AS status_code FROM line_judged WHERE d_ok AND dr_ok AND cr_ok)"
+
+
+@query(f"WITH {_CONTROLS.replace(_CLEAN, _POPULATION)} SELECT * FROM t")
+def population_controls(spark: SparkSession, folder: str) -> DataFrame:
+    """From raw lines to the control table: load, drop repeated rows, reconcile with the ledger, judge."""
+    loaded = malformed.loaded(table(spark, folder, "raw_source_lines").select("raw_line"), "raw_line").drop("debit_text", "credit_text").distinct()
+    return _money(_controls(spark, folder, loaded), "delta")
+
+
 def enforced(spark: SparkSession, folder: str) -> None:
     """Refuses a library with any finding; what an operation on it calls first."""
     library.gate(_profile_findings(spark, folder))

@@ -79,8 +79,8 @@ def prior_period_change(spark: SparkSession, folder: str) -> DataFrame:
     return _money(close_model.period_change(_rows(spark, folder), F.col("transaction_date")), "current", "prior", "change")
 
 
-def _controls(spark: SparkSession, folder: str, **more: DataFrame) -> DataFrame:
-    by_account = durable(close_model.accounts(_rows(spark, folder)))
+def _controls(spark: SparkSession, folder: str, rows: DataFrame | None = None, **more: DataFrame) -> DataFrame:
+    by_account = durable(close_model.accounts(rows if rows is not None else _rows(spark, folder)))
     recon = close_model.reconcile_ledger(by_account, _ledger(spark, folder))
     identity = ("entity", "period", "preparer", "{{reviewer}}")
     return close_model.controls(by_account, table(spark, folder, "account_map"), recon, identity=identity, capacities={"source": 100_000, "map": 200}, **more)

@@ -125,7 +125,13 @@ def copy_verified(source: str, target: str, manifest: Mapping[str, str]) -> int:
                     actual.update(block)
             if actual.hexdigest() != digest:
                 raise Refused(f"{name}: hash differs")
-        os.rename(staging, target)
+        # the name is claimed first: making a folder fails where anything has come to exist meanwhile, and a
+        # folder replaces only an empty one, which is then our own
+        try:
+            os.mkdir(target)
+            os.rename(staging, target)
+        except OSError as e:
+            raise Refused(f"{target} exists") from e
     except BaseException:
         shutil.rmtree(staging, ignore_errors=True)
         raise

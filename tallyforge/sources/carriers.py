@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import os
+import tomllib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -27,7 +30,8 @@ def strict_rows(content: DataFrame) -> DataFrame:
     """Rows of delimited files (path, content), parsed strictly; one row a record, or one with a problem.
 
     Invalid UTF-8 and broken quoting are the file's problem ``unreadable``; wrong widths are each row's
-    ``width``; a blank line is no record. A file is parsed by one task, streaming through its text.
+    ``width``; a blank line is no record. A file is one task's, since one broken quote makes all of it
+    unreadable; files too large for that are read by ``lines``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +129,54 @@ def _under(texts: DataFrame, schema: str) -> DataFrame:
     return texts.select("path", F.from_json("value", F.lit(f"{schema}, _corrupt string"), options).alias("d")).select("path", "d.*")
 
 
+def toml_documents(content: DataFrame) -> DataFrame:
+    """(path, document, problem) of TOML files (path, content): each as JSON with sorted keys, or ``unreadable``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str | None, str | None]] = []
+            for data in batch.column(1):
+                try:
+                    read = tomllib.loads(data.as_py().decode("utf-8"))
+                    out.append((json.dumps(read, sort_keys=True, ensure_ascii=False, default=str), None))
+                except (AttributeError, UnicodeDecodeError, tomllib.TOMLDecodeError, RecursionError):
+                    out.append((None, "unreadable"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["path", "document", "problem"])
+
+    return content.select("path", "content").mapInArrow(run, "path string, document string, problem string")
+
+
+def links(root: str) -> list[str]:
+    """Paths below a local or mounted root, and the root itself, that are links: what a governed folder must not have."""
+    found = [root] if os.path.islink(root) else []
+    for at, folders, names in os.walk(root):
+        found += [path for n in (*folders, *names) if os.path.islink(path := os.path.join(at, n))]
+    return sorted(found)
+
+
+def lines(spark: SparkSession, folder: str, header: Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """(path, raw_line): the records of delimited files whose records are lines, for ``malformed.classify``.
+
+    The text reader splits large files, so a file is read by as many tasks as it needs. Lines that equal
+    the header, blank lines, and a byte order mark are left out; ``first_lines`` tells of other headers.
+    A record that holds a line break comes out as its lines, which ``classify`` finds malformed; read such
+    files with ``strict_rows``.
+    """
+    return _lines(spark, folder, pattern).filter((F.col("raw_line") != ",".join(header)) & (F.trim("raw_line") != "")).select("path", "raw_line")
+
+
+def first_lines(spark: SparkSession, folder: str, header: Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """(path, first): files whose first line is not the header, with what it is. One row a task is shuffled."""
+    at = F.struct("start", "at")
+    first = _lines(spark, folder, pattern).groupBy("path").agg(F.min_by("raw_line", at).alias("first"))
+    return first.filter(F.col("first") != ",".join(header))
+
+
+def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\\A\ufeff|\r\\z", "").alias("raw_line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def not_objects(texts: DataFrame, column: str) -> DataFrame:
     """Rows whose text is no JSON object: malformed, or of another kind."""
     kind = F.schema_of_variant(F.try_parse_json(F.col(column)))

@@ -8,10 +8,10 @@ import re
 import pytest
 from oracle import compared
 
-from tallyforge.plans import library, records, reference
+from tallyforge.plans import library, packages, records, reference
 
-QUERIES = records.QUERIES | reference.QUERIES | library.QUERIES
-SQL = records.SQL | reference.SQL | library.SQL
+QUERIES = records.QUERIES | reference.QUERIES | library.QUERIES | packages.QUERIES
+SQL = records.SQL | reference.SQL | library.SQL | packages.SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
