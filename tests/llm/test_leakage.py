@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -93,3 +94,33 @@ def test_proximity_needs_one_document(spark):
     assert found(spark, [(1, "alpha beta"), (2, "gamma delta")], [(1, "alpha beta gamma delta")], 4, proximity=True) == []
     got = found(spark, [(1, "delta x alpha"), (2, "gamma beta x alpha delta")], [(1, "alpha beta gamma delta")], 4, proximity=True)
     assert [(x.doc_id, x.kind) for x in got] == [(2, "proximity")]
+
+
+def near_by_hand(docs, items, size, near):
+    """Proximity as documented, place by place: the four rarest terms of a window around each place of the rarest."""
+    texts = {d: leakage.words(t) for d, t in docs}
+    often = Counter(w for ws in texts.values() for w in ws)
+    out = set()
+    for i, t in items:
+        w = leakage.words(t)
+        for k in range(len(w) - size + 1):
+            window = w[k : k + size]
+            order = sorted(range(size), key=lambda j: often[window[j]])  # stable: the first of equals
+            rare = [window[j] for j in order[:4]]
+            for d, ws in texts.items():
+                places = {r: [p for p, x in enumerate(ws) if x == r] for r in rare}
+                if any(all(any(abs(q - p) <= near for q in places[r]) for r in rare) for p in places[rare[0]]):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_proximity_against_every_place(spark, seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.randrange(4, 16))) for i in range(12)]
+    docs = [(i, text(r.randrange(5, 120)) + (" " + r.choice(items)[1] if i % 3 == 0 else "")) for i in range(60)]
+    got = found(spark, docs, items, 5, proximity=True)
+    assert {(x.doc_id, x.item_id) for x in got if x.kind == "phrase"} == brute(docs, items, 5)
+    assert {(x.doc_id, x.item_id) for x in got} == near_by_hand(docs, items, 5, 3 * leakage.WINDOW) | brute(docs, items, 5)
