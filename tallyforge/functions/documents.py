@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalars
 from tallyforge.functions.scalars import pointer
 from tallyforge.functions.structure import index
 
@@ -191,3 +192,29 @@ def pointed(df: DataFrame, text: str, carry: Sequence[str], pointers: Sequence[s
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns[:-1], pa.array(list(pointers) * batch.num_rows), pa.array(out, pa.string())], names=[*carry, "pointer", "value"])
 
     return df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", pointer string, value string")
+
+
+def patched(df: DataFrame, text: str, carry: Sequence[str], operations: Sequence[Mapping[str, object]]) -> DataFrame:
+    """(carry..., document, problem): each text with ``replace`` and ``remove`` operations applied in turn.
+
+    Where an operation's target does not exist the document is null and the problem ``no_target``; for a
+    null or malformed text it is ``unreadable``. Nothing is applied in part.
+    """
+    types = dict(df.dtypes)
+
+    def one(body: str | None) -> tuple[str | None, str | None]:
+        try:
+            document = json.loads(body or "")
+        except (ValueError, RecursionError):
+            return None, "unreadable"
+        try:
+            return json.dumps(scalars.patched(document, operations), ensure_ascii=False, separators=(",", ":")), None
+        except (KeyError, IndexError, TypeError, ValueError):
+            return None, "no_target"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(body) for body in batch.column(len(carry)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([d for d, _ in made], pa.string()), pa.array([p for _, p in made], pa.string())], names=[*carry, "document", "problem"])
+
+    return df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", document string, problem string")

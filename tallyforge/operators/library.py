@@ -104,13 +104,14 @@ def records(df: DataFrame, name: Column, fields: Mapping[str, Column]) -> DataFr
 
 
 def publication(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, state) of records (name, sha256) against those that exist: ``missing`` there, ``identical`` or ``different``.
+    """(name, sha256, state) of records (name, sha256) against those that exist: ``missing`` there, ``identical`` or ``different``.
 
     A publication that creates once refuses all where any is different.
     """
-    held = existing.select("name", F.col("sha256").alias("__tf_h")).distinct()
-    state = F.when(F.col("__tf_h").isNull(), "missing").when(F.col("__tf_h") == F.col("sha256"), "identical").otherwise("different")
-    return new.select("name", "sha256").distinct().join(held, "name", "left").select("name", state.alias("state"))
+    named = existing.select("name", F.lit(True).alias("__tf_named")).distinct()
+    same = existing.select("name", "sha256", F.lit(True).alias("__tf_same")).distinct()
+    state = F.when(F.col("__tf_named").isNull(), "missing").when(F.col("__tf_same"), "identical").otherwise("different")
+    return new.select("name", "sha256").distinct().join(named, "name", "left").join(same, ["name", "sha256"], "left").select("name", "sha256", state.alias("state"))
 
 
 def instantiation(assets: DataFrame, target: str, authorized: Mapping[str, bool], provenance: str | None) -> DataFrame:

@@ -15,6 +15,7 @@ from tallyforge.operators import carriers, catalog, findings, integrity, library
 from tallyforge.plans.records import _JSON, _LINES, _nth
 from tallyforge.plans.reference import _CLEAN, _CONTROLS, QUERIES, SQL, _controls, _money, _rows, query
 from tallyforge.session import durable
+from tallyforge.sources import carriers as files
 from tallyforge.sources.tables import table
 
 CATEGORIES = ("core_integrity", "render", "metadata", "computational", "provenance", "leakage", "authority_separation", "anti_filler")
@@ -448,6 +449,77 @@ def reconciliation_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SCHEMA = {
+    "type": "object",
+    "required": ["submission_profile_id", "reuse_policy", "templates"],
+    "properties": {
+        "status": {"enum": ["reviewed", "draft", "retired"]},
+        "templates": {"type": "array", "maxItems": 3},
+        "reuse_policy": {"type": "object", "required": ["material_change_kinds"], "properties": {"material_change_kinds": {"items": {"pattern": "_"}, "minItems": 3}}, "additionalProperties": False},
+    },
+}
+
+
+@query(
+    """WITH p AS (SELECT profile_seq::VARCHAR AS subject, body, json_extract(body, '$.templates') AS t, json_extract(body, '$.reuse_policy') AS r, json_extract(body, '$.reuse_policy.material_change_kinds') AS k FROM profiles)
+    SELECT subject, '/reuse_policy' AS location, 'required' AS problem FROM p WHERE r IS NULL UNION ALL SELECT subject, '/templates', 'required' FROM p WHERE t IS NULL
+    UNION ALL SELECT subject, '/templates', 'type' FROM p WHERE json_type(t) <> 'ARRAY' UNION ALL SELECT subject, '/templates', 'size' FROM p WHERE json_type(t) = 'ARRAY' AND json_array_length(t) > 3
+    UNION ALL SELECT subject, '/status', 'enum' FROM p WHERE json_extract(body, '$.status') IS NOT NULL AND coalesce(body->>'$.status', '') NOT IN ('reviewed', 'draft', 'retired')
+    UNION ALL SELECT subject, '/reuse_policy', 'type' FROM p WHERE r IS NOT NULL AND json_type(r) <> 'OBJECT' UNION ALL SELECT subject, '/reuse_policy/material_change_kinds', 'required' FROM p WHERE json_type(r) = 'OBJECT' AND k IS NULL
+    UNION ALL SELECT subject, '/reuse_policy/' || f, 'additionalProperties' FROM (SELECT subject, unnest(json_keys(r)) AS f FROM p WHERE json_type(r) = 'OBJECT') WHERE f <> 'material_change_kinds'
+    UNION ALL SELECT subject, '/reuse_policy/material_change_kinds', 'size' FROM p WHERE json_type(k) = 'ARRAY' AND json_array_length(k) < 3
+    UNION ALL SELECT subject, '/reuse_policy/material_change_kinds/' || (i - 1), 'pattern' FROM (SELECT subject, unnest(k::VARCHAR[]) AS v, generate_subscripts(k::VARCHAR[], 1) AS i FROM p WHERE json_type(k) = 'ARRAY') WHERE NOT contains(v, '_')"""
+)
+def profile_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of a closed schema that profiles break, with where."""
+    return documents.schema_findings(table(spark, folder, "profiles"), "profile_seq", "body", _SCHEMA)
+
+
+@query(
+    """SELECT profile_seq::VARCHAR AS subject, '/reuse_policy/history_scope' AS location, 'forbidden_key' AS problem FROM profiles WHERE json_extract(body, '$.reuse_policy.history_scope') IS NOT NULL
+    UNION ALL SELECT profile_seq::VARCHAR, '/scope', 'forbidden_text' FROM profiles WHERE body->>'$.scope' LIKE 'public_safe%'"""
+)
+def forbidden_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys and texts that must not occur at any depth of a profile."""
+    return documents.forbidden_findings(table(spark, folder, "profiles"), "profile_seq", "body", ["History_Scope"], [r"\Apublic_safe"])
+
+
+@query(
+    """SELECT profile_seq, CASE WHEN json_extract(body, '$.reuse_policy.block_consecutive_exact') IS NOT NULL THEN 'private' END AS scope, CASE WHEN json_extract(body, '$.reuse_policy.block_consecutive_exact') IS NOT NULL THEN json_extract_string(body, '$.reuse_policy.history_scope') END AS history,
+    CASE WHEN json_extract(body, '$.reuse_policy.block_consecutive_exact') IS NULL THEN 'no_target' END AS problem FROM profiles"""
+)
+def document_patch(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles with one field replaced and one removed; those without the field are left as they are."""
+    operations = [{"op": "replace", "path": "/scope", "value": "private"}, {"op": "remove", "path": "/reuse_policy/block_consecutive_exact"}]
+    made = documents.patched(table(spark, folder, "profiles"), "body", ["profile_seq"], operations)
+    left = F.get_json_object("document", "$.reuse_policy.block_consecutive_exact")
+    return made.select("profile_seq", F.get_json_object("document", "$.scope").alias("scope"), F.when(left.isNull(), F.get_json_object("document", "$.reuse_policy.history_scope")).alias("history"), "problem")
+
+
+@query(
+    f"""WITH {_FLAT}, r AS (SELECT profile_seq % 2 AS side, template_id AS name, sha256(to_json({{'release_id': release_id, 'version': version}})) AS sha256 FROM tt WHERE template_id IS NOT NULL)
+    SELECT DISTINCT a.name, a.sha256, CASE WHEN NOT EXISTS (SELECT 1 FROM r b WHERE b.side = 0 AND b.name = a.name) THEN 'missing' WHEN EXISTS (SELECT 1 FROM r b WHERE b.side = 0 AND b.name = a.name AND b.sha256 = a.sha256) THEN 'identical' ELSE 'different' END AS state FROM r a WHERE a.side = 1"""
+)
+def publication_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that every second profile would publish against those that the others published."""
+    rows = _kind(_flat(spark, folder), "release").filter("template_id is not null")
+    made = library.records(rows.select("profile_seq", "template_id", "child_key", "of_version"), F.col("template_id"), {"release_id": F.col("child_key"), "version": F.col("of_version")})
+    return library.publication(made.filter("profile_seq % 2 = 1"), made.filter("profile_seq % 2 = 0"))
+
+
+@query(
+    r"""WITH x AS (SELECT raw_line AS l, regexp_replace(raw_line, '(^|,)"(?:[^"]|"")*"', '\1Q', 'g') AS q FROM raw_source_lines WHERE raw_line IS NOT NULL),
+    y AS (SELECT CASE WHEN NOT regexp_full_match(l, '(?:"(?:[^"]|"")*"|[^",][^,]*|)(?:,(?:"(?:[^"]|"")*"|[^",][^,]*|))*') THEN 'unreadable' WHEN l = '' THEN 'no_rows' WHEN length(q) - length(replace(q, ',', '')) <> 7 THEN 'width' ELSE 'good' END AS state FROM x)
+    SELECT state, count(*) AS n FROM y GROUP BY 1"""
+)
+def carrier_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line as a file of its own below the header, parsed strictly: what becomes of it."""
+    header = ",".join(f.name for f in malformed.SOURCE_ROW)
+    content = table(spark, folder, "raw_source_lines").filter("raw_line is not null").select(F.col("line_id").cast("string").alias("path"), F.encode(F.concat(F.lit(f"{header}\n"), F.col("raw_line")), "utf-8").alias("content"))
+    rows = files.strict_rows(content)
+    return rows.groupBy(F.coalesce("problem", F.lit("good")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""WITH {_FLAT}, known AS (SELECT 'library/foundations/' || card_id || '.json' AS path FROM foundation_cards WHERE card_id IS NOT NULL)
     SELECT DISTINCT path FROM card WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM known)"""

@@ -44,7 +44,7 @@ def workbook_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return by_value.groupBy("number").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("different"), F.sum("f").alias("formulas"), F.sum(money).cast("double").alias("total")).select("number", F.get(names, F.col("number") - 1).alias("header"), "cells", "different", "formulas", "total")
 
 
-@query("SELECT count(*) AS rows, 0 AS declared_differs, 0 AS shape_problems, count(*) AS formulas, 0 AS structure_differs, 0 AS cached_after FROM source_rows")
+@query("SELECT count(*) AS rows, 0 AS declared_differs, 0 AS shape_problems, count(*) AS formulas, 0 AS structure_differs, 0 AS cached_after, count(*) AS empty_caches FROM source_rows")
 def workbook_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Declared tables against those the workbooks hold, their shapes, and formulas before and after caches are stripped."""
     books = _books(spark, folder)
@@ -53,10 +53,11 @@ def workbook_contract(spark: SparkSession, folder: str) -> DataFrame:
     differing = library.table_differences(declared, native, ["path", "sheet", "name"], ["ref", "columns"])
     before = office.formula_evidence(artifacts.workbook_cells(books))
     stripped = books.select("path", packages.built(packages.without_caches, F.col("content")).alias("content"))
-    after = office.formula_evidence(artifacts.workbook_cells(stripped))
+    bare = durable(artifacts.workbook_cells(stripped))
+    after = office.formula_evidence(bare)
     changed = integrity.field_differences(before, after, ["path"], ["formulas", "structure"])
     one = lambda df, name, c=None: df.agg((F.count(F.lit(1)) if c is None else F.coalesce(F.sum(c), F.lit(0))).cast("bigint").alias(name))
-    parts = [one(books, "rows", "rows"), one(differing, "declared_differs"), one(artifacts.shape_findings(books), "shape_problems"), one(before, "formulas", "formulas"), one(changed, "structure_differs"), one(after, "cached_after", "cached")]
+    parts = [one(books, "rows", "rows"), one(differing, "declared_differs"), one(artifacts.shape_findings(books), "shape_problems"), one(before, "formulas", "formulas"), one(changed, "structure_differs"), one(after, "cached_after", "cached"), one(office.empty_caches(bare).filter("not valid"), "empty_caches")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
@@ -159,4 +160,72 @@ def package_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("members")).alias("members"))
 
 
+_TRAITS = (
+    # a rule, and every how many-th part breaks it
+    ("hidden_sheet", 5),
+    ("hidden_row", 7),
+    ("hidden_columns", 11),
+    ("formula_error", 13),
+    ("external_relationship", 17),
+    ("comments", 19),
+    ("stale_metadata", 23),
+    ("embedded_object", 29),
+    ("custom_xml", 31),
+    ("malformed_part", 37),
+    ("prohibited_phrase", 41),
+    ("unresolved_token", 43),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS n FROM part WHERE p_partkey % {k} = 0 HAVING count(*) > 0" for rule, k in _TRAITS))
+def office_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Workbooks that have what a clean one must not have, by rule."""
+
+    def made(key: int) -> bytes:
+        has = {rule for rule, k in _TRAITS if key % k == 0}
+        parts = {
+            "[Content_Types].xml": "<Types/>",
+            "xl/workbook.xml": f'<workbook xmlns:r="r"><sheets><sheet name="S" {"state='hidden'" if "hidden_sheet" in has else ""} r:id="rId1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<R><Relationship Id="rId1" Type="t/worksheet" Target="worksheets/sheet1.xml"/></R>',
+            "xl/worksheets/sheet1.xml": f'<w><cols><col min="2" max="3" hidden="{int("hidden_columns" in has)}"/></cols><sheetData><row r="1" hidden="{int("hidden_row" in has)}"><c r="A1" t="{"e" if "formula_error" in has else "n"}"><f>1</f><v>1</v></c></row></sheetData></w>',
+        }
+        texts = [t for rule, t in (("prohibited_phrase", "the answer key"), ("unresolved_token", "{{slot}}")) if rule in has]
+        extra = {
+            "external_relationship": ("xl/_rels/links.xml.rels", '<R><Relationship Id="r" Type="t/link" Target="http://far" TargetMode="External"/></R>'),
+            "comments": ("xl/comments1.xml", "<c/>"),
+            "stale_metadata": ("docProps/core.xml", "<c><creator>x</creator></c>"),
+            "embedded_object": ("xl/embeddings/o.bin", "x"),
+            "custom_xml": ("customXml/item1.xml", "<c/>"),
+            "malformed_part": ("xl/bad.xml", "<c"),
+        }
+        parts |= dict(v for k, v in extra.items() if k in has)
+        if texts:
+            parts["xl/sharedStrings.xml"] = "<sst>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>"
+        return packages.zipped(parts)
+
+    path = F.concat(F.col("p_partkey").cast("string"), F.lit(".xlsx"))
+    files = durable(table(spark, folder, "part").select(path.alias("path"), path.alias("name"), packages.built(made, F.col("p_partkey")).alias("content")))
+    return office.findings(files).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, repeat(p_name || ' ', p_size % 6) AS content, p_brand, p_name FROM part) SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN strlen(content) < 64 THEN 'too_short' END, CASE WHEN NOT contains(content, p_name) THEN 'lacks_name' END, CASE WHEN NOT contains(content, p_brand) THEN 'lacks_brand' END], lambda x: x IS NOT NULL)) AS problem FROM p) GROUP BY 1"""
+)
+def proof_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs that are too short, or lack a text they must contain."""
+    content = F.encode(F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size") % 6), "utf-8")
+    proofs = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return office.proof_problems(proofs, ["name", "brand"]).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 10 = 0 THEN 'missing' ELSE 'hash_differs' END AS defect FROM part WHERE p_partkey % 10 = 0 OR (p_partkey % 7 = 0 AND p_name <> p_name || 'x')")
+def hash_bound_files(spark: SparkSession, folder: str) -> DataFrame:
+    """References by path and hash against the files' bytes: some files are absent, some hashes of other bytes."""
+    part = table(spark, folder, "part").withColumn("path", F.col("p_partkey").cast("string"))
+    files = part.filter("p_partkey % 10 <> 0").select("path", F.sha2(F.encode("p_name", "utf-8"), 256).alias("sha256"))
+    declared = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name"))
+    refs = part.select("path", F.sha2(declared, 256).alias("sha256"))
+    return integrity.bound_references(refs, files).select("path", "defect")
+
+
 __all__ = ["QUERIES", "SQL"]

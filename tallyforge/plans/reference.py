@@ -303,10 +303,13 @@ def _catalog(spark: SparkSession, folder: str) -> DataFrame:
 _TEMPLATES = f"{_JSON}, entries AS (SELECT t->>'$.template_id' AS template_id, t->>'$.version' AS version, min(profile_seq) AS first_profile FROM t WHERE json_type(t) = 'OBJECT' AND t->>'$.template_id' IS NOT NULL AND t->>'$.version' IS NOT NULL GROUP BY ALL)"
 
 
-@query("SELECT blueprint_id, schema_version, archetype, name, artifact_type, primary_class FROM blueprints WHERE artifact_type = 'xlsx' AND schema_version = '2.0.0' AND removed_on IS NULL")
+@query(
+    """SELECT blueprint_id, schema_version, archetype, name, artifact_type, primary_class FROM blueprints WHERE schema_version = '2.0.0' AND removed_on IS NULL AND lower(trim(primary_class)) = 'contextual' AND list_contains(string_split(archetype, '_'), 'workbook')"""
+)
 def catalog_discover(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "blueprints").filter("removed_on is null").drop("added_on", "removed_on")
-    return catalog.discover(known, {"artifact_type": "xlsx", "schema_version": "2.0.0", "primary_class": None}, order=("blueprint_id",))
+    """Entries by equality (which reaches the scan), by what an array must hold, and by a text's identity."""
+    known = table(spark, folder, "blueprints").filter("removed_on is null").drop("added_on", "removed_on").withColumn("tags", F.split("archetype", "_"))
+    return catalog.discover(known, {"schema_version": "2.0.0", "artifact_type": None}, {"tags": ["workbook"]}, {"primary_class": " CONTEXTUAL"}, order=("blueprint_id",)).drop("tags")
 
 
 @query("SELECT o_custkey AS custkey FROM orders GROUP BY 1 HAVING list_has_all(list(DISTINCT o_orderpriority), ['1-URGENT', '5-LOW'])")

@@ -62,8 +62,9 @@ def test_records_and_publication(spark):
     by = {r.name: r for r in made.collect()}
     assert by["r1"].content == '{"a":null,"b":1}' and by["r2"].sha256 == hashlib.sha256(json.dumps({"a": "x", "b": 2}, separators=(",", ":")).encode()).hexdigest()
     held = spark.createDataFrame([("r2", by["r2"].sha256), ("r1", "other")], "name string, sha256 string")
-    assert rows(library.publication(made, held)) == [("r1", "different"), ("r2", "identical")]
-    assert rows(library.publication(made, held.limit(0))) == [("r1", "missing"), ("r2", "missing")]
+    state = lambda h: rows(library.publication(made, h).select("name", "state"))
+    assert state(held) == [("r1", "different"), ("r2", "identical")] and state(held.limit(0)) == [("r1", "missing"), ("r2", "missing")]
+    assert state(held.union(spark.createDataFrame([("r2", "older"), ("r1", "older")], held.schema))) == [("r1", "different"), ("r2", "identical")]
 
 
 def test_instantiation_gates(spark):
