@@ -19,8 +19,8 @@ Defined results
 * Null and empty texts, documents or items, match nothing; items of fewer words than a window neither.
   Rows without an id cannot be named and are left out.
 * Equal texts under several ids are each found. Repeated rows give the same cases once.
-* Very long texts are indexed whole, in a shard of their own; a very long item is a block of its own.
-  Empty tables give no rows.
+* Very long texts are indexed whole, in a shard of their own; an item is searched whole, so a block is at
+  least as large as its longest text. Empty tables give no rows.
 * Other columns of the tables are ignored.
 """
 

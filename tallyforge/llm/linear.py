@@ -6,6 +6,7 @@ n-grams of every order are rolling hashes over it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,29 +27,38 @@ class Hashed:
     dense: np.ndarray
 
 
-def hashed(texts: list[str]) -> Hashed:
-    """Lower case, digits made equal, marked where they begin and end."""
-    plain = [t.replace("\n", " ") for t in texts]
-    raw = "\n".join(f"\2{t.lower()}\3" for t in plain) + "\n"
+def _buffer(texts: list[str]) -> np.ndarray:
+    """The texts' bytes: lower case, digits made equal, marked where they begin and end, a break after each."""
+    raw = "\n".join(f"\2{t.lower()}\3".replace("\n", " ") for t in texts) + "\n"
     b = np.frombuffer(raw.encode("utf-8", "replace"), np.uint8).copy()
     b[(b >= 48) & (b <= 57)] = 48
-    breaks = b == _SEPARATOR
-    owner = np.cumsum(breaks) - breaks
-    seps = np.concatenate([[0], np.cumsum(breaks)])
-    buckets, owners = [], []
+    return b
+
+
+def _rolled(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order, the bucket of the n-gram that begins at each place."""
     h = np.zeros(len(b), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        if len(b) < n:
-            break
+    for n in range(1, min(max(ORDERS), len(b)) + 1):
         m = len(b) - n + 1
         h = h[:m] * np.uint32(0x01000193) + b[n - 1 :].astype(np.uint32) + np.uint32(1)
-        if n not in ORDERS:
-            continue
+        if n in ORDERS:
+            mixed = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            yield n, mixed >> np.uint32(32 - BITS)
+
+
+def hashed(texts: list[str]) -> Hashed:
+    """The n-grams of each text, none across two, and the dense features."""
+    b = _buffer(texts)
+    breaks = b == _SEPARATOR
+    owner = np.cumsum(breaks) - breaks
+    seps = np.concatenate([[0], np.cumsum(breaks)])
+    buckets, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for n, all_buckets in _rolled(b):
+        m = len(all_buckets)
         within = seps[n:] == seps[:m]
-        mixed = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        buckets.append((mixed >> np.uint32(32 - BITS))[within])
+        buckets.append(all_buckets[within])
         owners.append(owner[:m][within])
-    return Hashed(np.concatenate(buckets) if buckets else np.zeros(0, np.uint32), np.concatenate(owners) if owners else np.zeros(0, np.int64), _dense(plain))
+    return Hashed(np.concatenate(buckets), np.concatenate(owners), _dense([t.replace("\n", " ") for t in texts]))
 
 
 def _dense(texts: list[str]) -> np.ndarray:
@@ -82,12 +92,39 @@ def margin(weights: np.ndarray, x: Hashed) -> np.ndarray:
     return grams[: len(x.dense)] + x.dense @ weights[_SIZE:]
 
 
+#: Texts and characters that are hashed together, and byte places of one long text.
+_TEXTS, _CHARS = 5_000, 400_000
+
+
 def scores(weights: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Probabilities, block by block."""
-    out = [np.zeros(0)]
-    for i in range(0, len(texts), 5000):
-        out.append(1 / (1 + np.exp(-np.clip(margin(weights, hashed(texts[i : i + 5000])), -30, 30))))
-    return np.concatenate(out)
+    """Probabilities; texts are taken in blocks of bounded size, and a longer text in pieces, with the same result."""
+    z = np.zeros(len(texts))
+    block: list[int] = []
+    chars = 0
+    for i, t in enumerate(texts):
+        if len(t) > _CHARS:
+            z[i] = _long(weights, t)
+            continue
+        if len(block) == _TEXTS or (block and chars + len(t) > _CHARS):
+            z[block] = margin(weights, hashed([texts[k] for k in block]))
+            block, chars = [], 0
+        block.append(i)
+        chars += len(t)
+    if block:
+        z[block] = margin(weights, hashed([texts[k] for k in block]))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _long(weights: np.ndarray, text: str) -> float:
+    """The margin of a long text: its n-grams by where they begin, piece by piece."""
+    data, most = _buffer([text]), max(ORDERS)
+    end = len(data) - 1  # without the break at its end
+    total = float((_dense([text.replace("\n", " ")]) @ weights[_SIZE:])[0])
+    for a in range(0, end, _CHARS):
+        piece = data[a : min(a + _CHARS + most - 1, end)]
+        for n, buckets in _rolled(piece):
+            total += float(weights[buckets[:_CHARS]].sum(dtype=np.float64))
+    return total
 
 
 def train(texts: list[str], labels: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:

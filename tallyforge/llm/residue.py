@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm import linear
 from tallyforge.session import durable
 
-#: The training sample's bound: distinct values of either weak label, out of twelve times as many rows.
-SAMPLE = 12_000
+#: The training sample's bounds: distinct values of either weak label, out of twelve times as many rows, and
+#: the characters of a value to learn from. Values of any length are scored, and whole.
+SAMPLE, SAMPLE_CHARS = 12_000, 2_000
 #: Entities fall into this many parts; one sets the threshold, one gives the report.
 PARTS = 10
 
@@ -133,7 +134,7 @@ def labelled(df: DataFrame, fields: Sequence[str], group: str, sample: int = SAM
     # rows are thinned by a hash, so that a value comes in by its frequency and the shuffle stays near the sample
     kept = min(1.0, 12 * sample / max(df.count(), 1))
     near = (F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns], F.lit(5)) / F.lit(2.0**63) + 1) / 2
-    values = _values(df.filter(near <= kept), fields, of.alias("of"))
+    values = _values(df.filter(near <= kept), fields, of.alias("of")).filter(F.length("value") <= SAMPLE_CHARS)
     distinct = durable(
         values.groupBy("field", "value")
         # the larger part wins: learning over reporting over setting the threshold

@@ -84,6 +84,16 @@ def test_linear_model_learns_and_hashes_alike():
     assert len(linear.scores(w, [])) == 0
 
 
+def test_long_texts_score_alike_in_pieces(monkeypatch):
+    r = np.random.default_rng(3)
+    w = r.normal(0, 1e-3, 2**linear.BITS + linear.DENSE).astype(np.float32)
+    texts = ["é\n9 ab" * n for n in (0, 1, 7, 300, 40)]
+    whole = linear.scores(w, texts)
+    for chars in (5, 64, 333):
+        monkeypatch.setattr(linear, "_CHARS", chars)
+        assert np.allclose(linear.scores(w, texts), whole, atol=1e-5)
+
+
 @pytest.mark.parametrize("text", ["", "\0", "\n\n", "ß" * 10, "x" * 200_000])
 def test_any_text_is_scored(text):
     w = np.zeros(2**linear.BITS + linear.DENSE, np.float32)
