@@ -182,7 +182,7 @@ SQL = {
     "p4_collapsed": f"WITH {_SAME} SELECT keep_id, copies FROM g",
     "p4_dictionary": f"WITH {_SAME} " + " UNION ALL ".join(f"SELECT '{name}' AS field, v{i} AS value, count(*) AS records FROM v GROUP BY ALL" for i, name in enumerate(copies.LABELS)),
     # sizes are a tokenizer's, which SQL does not have; what must hold of any packing it can say
-    "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS repeated, 0 AS needless_cuts, 0 AS overfull, 0 AS misstated, 0 AS joinable FROM documents WHERE length(text) > 0",
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS repeated, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull, 0::BIGINT AS misstated, 0::BIGINT AS joinable FROM documents WHERE length(text) > 0",
     "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leak",
     "p8_items": f"WITH {_LEAKS} SELECT item_id, suite, count(*) AS documents FROM leak JOIN (SELECT DISTINCT item_id, suite FROM eval_items) USING (item_id) GROUP BY ALL",
     "p8_phrases": f"WITH {_LEAKS} SELECT * FROM leak",
