@@ -44,7 +44,7 @@ def workbook_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return by_value.groupBy("number").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("different"), F.sum("f").alias("formulas"), F.sum(money).cast("double").alias("total")).select("number", F.get(names, F.col("number") - 1).alias("header"), "cells", "different", "formulas", "total")
 
 
-@query("SELECT count(*) AS rows, 0 AS declared_differs, 0 AS shape_problems, count(*) AS formulas, 0 AS structure_differs, 0 AS cached_after, count(*) AS empty_caches FROM source_rows")
+@query("SELECT count(*) AS rows, 0::BIGINT AS declared_differs, 0::BIGINT AS shape_problems, count(*) AS formulas, 0::BIGINT AS structure_differs, 0::BIGINT AS cached_after, count(*) AS empty_caches FROM source_rows")
 def workbook_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Declared tables against those the workbooks hold, their shapes, and formulas before and after caches are stripped."""
     books = _books(spark, folder)

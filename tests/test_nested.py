@@ -143,5 +143,16 @@ def test_flatten_in_spark(spark):
         nested.flatten(df, "body", ["profile_seq", "kind"])
 
 
+def test_children_inherit_fields_of_their_parent(spark):
+    layout = nested.Layout("templates", "template", "template_id", (nested.Child("asset", "assets", "path", bare=True),), ("path",), ("template_id", "facets"))
+    body = '{"templates": [{"template_id": "A", "facets": {"m": [1]}, "assets": ["x", {"path": "y"}]}, {"assets": "z"}, {"template_id": null}]}'
+    df = spark.createDataFrame([(1, body), (2, "{")], "i int, body string")
+    got = {(r.parent_pos, r.kind, r.child_pos): (r.child_key, r.parent_template_id, r.parent_facets) for r in nested.flatten(df, "body", ["i"], layout).collect()}
+    assert got[0, "asset", 0] == ("x", "A", '{"m": [1]}') and got[0, "asset", 1] == ("y", "A", '{"m": [1]}') and got[1, "asset", 0] == ("z", None, None)
+    assert got[0, "template", 0] == ("A", "A", '{"m": [1]}') and got[2, "template", 2] == (None, None, None) and len(got) == 6
+    with pytest.raises(ValueError, match="clash"):
+        nested.flatten(df.withColumn("parent_facets", df.i), "body", ["parent_facets"], layout)
+
+
 def test_empty_batch():
     assert len(index([]).bad) == 0 and not np.any(index([None]).root >= 0)
