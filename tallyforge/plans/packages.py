@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import documents
 from tallyforge.functions.scalars import column_number
-from tallyforge.operators import integrity, library, office
+from tallyforge.operators import integrity, library, malformed, office
+from tallyforge.plans.records import _LINES
 from tallyforge.plans.reference import QUERIES, SQL, query
-from tallyforge.session import durable
-from tallyforge.sinks import packages
-from tallyforge.sources import artifacts, pdf
+from tallyforge.session import durable, scratch
+from tallyforge.sinks import packages, publish
+from tallyforge.sources import artifacts, carriers, pdf
 from tallyforge.sources.tables import table
 
 _HEADERS = ("source_row_id", "entity_code", "account_code", "debit", "credit")
@@ -160,6 +162,59 @@ def package_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("members")).alias("members"))
 
 
+_PLAIN = "(l IS NULL OR NOT regexp_matches(l, '[\\r\\n]'))"
+
+
+@query(
+    f"""WITH {_LINES}, x AS (SELECT * FROM lines WHERE l IS NOT NULL AND trim(l) <> '' AND {_PLAIN})
+    SELECT file_name, count(*) AS lines, count(*) FILTER (line_id IN (SELECT line_id FROM reasons)) AS rejected, 0::BIGINT AS other_headers FROM x GROUP BY 1"""
+)
+def carrier_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines written as delimited files below their header and scanned again: what loads, by file."""
+    header = [f.name for f in malformed.SOURCE_ROW]
+    rows = table(spark, folder, "raw_source_lines").filter("raw_line is not null and trim(raw_line) <> ''").filter(~F.col("raw_line").rlike("[\r\n]")).select("file_name", "raw_line")
+    named = F.regexp_extract("path", "file_name=([^/]+)/", 1)
+    with scratch(spark) as at:
+        # the header of each file is its first line: one file a name, its lines sorted after it
+        heads = rows.select("file_name").distinct().select("file_name", F.lit(",".join(header)).alias("raw_line"), F.lit(0).alias("o"))
+        rows.withColumn("o", F.lit(1)).unionByName(heads).repartition("file_name").sortWithinPartitions("file_name", "o").drop("o").write.partitionBy("file_name").text(at)
+        done = malformed.classify(carriers.lines(spark, at, header, "*.txt"), "raw_line")
+        counts = done.groupBy(named.alias("file_name")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.size("reasons") > 0).alias("rejected"))
+        wrong = carriers.first_lines(spark, at, header, "*.txt").groupBy(named.alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+        return durable(counts.join(wrong, "file_name", "left").select("file_name", "lines", "rejected", F.coalesce("n", F.lit(0)).cast("bigint").alias("other_headers")))
+
+
+@query(
+    """WITH x AS (SELECT CASE WHEN profile_seq % 3 = 0 THEN body || '}' WHEN profile_seq % 3 = 1 THEN body ELSE '[' || body || ']' END AS v, profile_seq % 3 AS k, body->>'$.status' AS status FROM profiles)
+    SELECT CASE WHEN k = 1 THEN status END AS status, k <> 1 AS corrupt, count(*) AS n FROM x GROUP BY ALL"""
+)
+def json_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles written as lines of JSON and scanned again under a schema: every third is broken, every third a list."""
+    body = F.when(F.col("profile_seq") % 3 == 0, F.concat("body", F.lit("}"))).when(F.col("profile_seq") % 3 == 1, F.col("body")).otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    rows = table(spark, folder, "profiles").select(F.regexp_replace(body, "[\r\n]", " ").alias("value"))
+    with scratch(spark) as at:
+        rows.write.text(at)
+        texts = documents.object_flags(spark.read.text(at), "value")
+        bad = ~F.col("is_object")
+        status = F.when(~bad, F.get_json_object("value", "$.status"))
+        return durable(texts.groupBy(status.alias("status"), bad.alias("corrupt")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT 'first' AS step, 'written' AS state, count(*) AS rows FROM blueprints UNION ALL SELECT 'again', 'unchanged', count(*) FROM blueprints UNION ALL SELECT 'other', 'refused', count(*) FROM blueprints")
+def publish_once(spark: SparkSession, folder: str) -> DataFrame:
+    """A table published, published again, and refused once it differs; its rows after each step."""
+    whole = table(spark, folder, "blueprints")
+    steps = []
+    with scratch(spark) as at:
+        for step, df in (("first", whole), ("again", whole.repartition(3)), ("other", whole.limit(0))):
+            try:
+                state = publish.publish_tables({f"{at}/t": df})[f"{at}/t"]
+            except publish.Refused:
+                state = "refused"
+            steps.append((step, state, spark.read.parquet(f"{at}/t").count()))
+    return spark.createDataFrame(steps, "step string, state string, rows bigint")
+
+
 _TRAITS = (
     # a rule, and every how many-th part breaks it
     ("hidden_sheet", 5),

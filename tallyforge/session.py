@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,14 +38,13 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder.
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; set as the checkpoint folder once.
 
     The folder is the one the cluster names in spark.checkpoint.dir. Only a local session without
     one gets a folder of its own; a cluster without one is refused, since a machine's own folder
     would be lost with the machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,9 +53,26 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tallyforge-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder within the shared one, for files; deleted at the end, so what is read from it must be kept by then."""
+    path = f"{_shared(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Hands this package to the session's Python workers, once for each application."""
     context = spark.sparkContext
@@ -73,4 +92,4 @@ def ship(spark: SparkSession) -> None:
 
 _SHIPPED: set[str] = set()
 
-__all__ = ["SETTINGS", "durable", "local_session", "ship", "width"]
+__all__ = ["SETTINGS", "durable", "local_session", "scratch", "ship", "width"]
