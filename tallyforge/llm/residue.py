@@ -89,8 +89,22 @@ SEEDS = {
         "^(" + "|".join(RESPONSES.values()) + ")$",
         r"</?(html|head|title|body|h\d|p|div|br)\b[^>]*>",
         r"#(ref|value|name|num|null)[!?]|#n/a|#div/0!?",
-        r"\b(traceback|stack ?trace|\w+exception|\w+error: |segmentation fault|(fatal|sql|syntax|parse|runtime) error)\b|\bkeyerror\b|^err_\w+$|\[object object\]",
-        r"\b(could not connect|connection (refused|reset)|timed out after|try again later|something went wrong|unexpected error occurred|(can't|cannot|could not) be (reached|found)|rate limit exceeded|session has expired|(access|permission) denied:|do not have permission|temporarily unavailable|will be back soon)",
+        r"\b(traceback|stack ?trace)\b",
+        r"\b\w+exception\b|\b\w+error: |\bkeyerror\b",
+        r"\b(fatal|sql|syntax|parse|runtime) error\b|\bsegmentation fault\b",
+        r"^err_\w+$",
+        r"\[object object\]",
+        r"\bcould not connect\b|\bconnection (refused|reset)\b",
+        r"\btimed out after\b",
+        r"\btry again later\b",
+        r"\bsomething went wrong\b",
+        r"\bunexpected error occurred\b",
+        r"\b(can't|cannot|could not) be (reached|found)\b",
+        r"\brate limit exceeded\b",
+        r"\bsession has expired\b",
+        r"\b(access|permission) denied:|\bdo not have permission\b",
+        r"\btemporarily unavailable\b",
+        r"\bwill be back soon\b",
     ),
     "notice": (
         rf"\b(enable|activate|allow|requires?|support|turn on|switch on) {_SCRIPTS}\b",
