@@ -1,12 +1,13 @@
 """Differences between two copies of a dataset, row by row and field by field.
 
-Keys are laid out on a line by a 64-bit hash, and the line is cut into ranges. Each side gets a
-checksum (rows, xor and sum of row hashes) for every smallest range in one pass; checksums of wider
-ranges are their sums. From the widest ranges down, only ranges whose checksums differ are split
-further, and rows and fields are compared only within the smallest ranges that differ.
+Keys are laid out on a line by a 64-bit hash. The line is cut into wide ranges, and both sides' rows are
+summed up by range, one side added and the other taken away: rows, xor and two sums of row hashes. Ranges
+that come to nothing hold the same rows. Only rows of the others are summed up again, by narrower
+ranges, down to the smallest, and only in those are rows and fields compared. Sums combine map-side, so
+two copies that are alike cost a scan of each and a few thousand numbers.
 
-Checksums are over distinct rows, so redelivered rows change nothing, and they carry 96 bits beside
-the row count.
+A copy delivered again makes its range differ, which costs a comparison there and changes no result.
+Checksums carry 128 bits beside the row count.
 
 Defined results
 ---------------
@@ -20,7 +21,6 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -28,69 +28,52 @@ from pyspark.sql import functions as F
 
 from tallyforge.session import durable
 
-#: Rows that a smallest range holds on average, the bits one level splits by, and the ranges whose
-#: numbers (8 bytes each) may be broadcast; beyond it they meet the rows in a shuffled join.
-LEAF_ROWS, STEP_BITS, BROADCAST_RANGES = 8, 6, 100_000
-
-_SIDES = (1, 2)
+#: Rows that a smallest range holds on average; the bits of the wider ranges; and the ranges whose numbers
+#: (8 bytes each) may be broadcast: beyond it they meet the rows in a shuffled join.
+LEAF_ROWS, WIDER, BROADCAST_RANGES = 8, (12, 24), 100_000
 
 
 def _range(key_hash: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key_hash, 64 - bits)
 
 
-def _hashes(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """df with the key's hash and two hashes of the whole row. Nulls are marked, since hashes skip them."""
+def _hashes(df: DataFrame, key: str, fields: Sequence[str], side: int) -> DataFrame:
+    """The key's hash and two hashes of the whole row, for side 1 or -1. Nulls are marked, since hashes skip them."""
     marked = [x for c in (key, *fields) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    return df.select(
-        F.xxhash64(F.col(f"`{key}`").isNull(), F.col(f"`{key}`")).alias("h"),
-        F.xxhash64(F.lit(7), *marked).alias("f1"),
-        F.xxhash64(F.lit(11), *reversed(marked)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("f2"),
-    )
+    return df.select(F.xxhash64(F.col(f"`{key}`").isNull(), F.col(f"`{key}`")).alias("h"), F.xxhash64(F.lit(7), *marked).alias("f1"), F.xxhash64(F.lit(11), *reversed(marked)).alias("f2"), F.lit(side).alias("side"))
 
 
-def _checksums(sums: DataFrame, by: Column, name: str) -> DataFrame:
-    return sums.groupBy(by.alias(name)).agg(
-        *[a for s in _SIDES for a in (F.sum(f"n{s}").alias(f"n{s}"), F.bit_xor(f"x{s}").alias(f"x{s}"), F.sum(f"s{s}").alias(f"s{s}"))]
-    )
+def _differing(rows: DataFrame, bits: int) -> DataFrame:
+    """(r): ranges in which the two sides' checksums are not the same."""
+    low, high = F.col("f2").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("f2", 32)  # halves, so that no sum can overflow
+    sums = rows.groupBy(_range(F.col("h"), bits).alias("r")).agg(F.sum("side").alias("n"), F.bit_xor("f1").alias("x"), F.sum(low * F.col("side")).alias("s"), F.sum(high * F.col("side")).alias("t"))
+    return sums.filter("n <> 0 or x <> 0 or s <> 0 or t <> 0").select("r")
 
 
+def _restricted(rows: DataFrame, at: Column, ranges: DataFrame, n: int) -> DataFrame:
+    """Rows whose range is among some."""
+    few = F.broadcast(ranges) if n <= BROADCAST_RANGES else ranges
+    return rows.withColumn("__tf_r", at).join(few.withColumnRenamed("r", "__tf_r"), "__tf_r", "left_semi").drop("__tf_r")
 
-def _differs() -> Column:
-    return reduce(lambda a, b: a | b, [F.col(f"{c}1") != F.col(f"{c}2") for c in "nxs"])
-
-
-def mismatched_ranges(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, int]:
-    """The smallest ranges whose checksums differ, as (r), and how many bits number a range."""
-    rows = max(left.count(), right.count(), 1)
-    bits = min(40, max(STEP_BITS, ceil(log2(max(rows / LEAF_ROWS, 2)))))
-    one = lambda df, side: _hashes(df, key, fields).groupBy("h", "f1", "f2").agg(F.lit(side).alias("side"))
-    both = one(left, 1).unionByName(one(right, 2))
-    at = F.col("side")
-    leaves = both.groupBy(_range(F.col("h"), bits).alias("r")).agg(
-        *[
-            a
-            for s in _SIDES
-            for a in (
-                F.count_if(at == s).alias(f"n{s}"),
-                F.coalesce(F.bit_xor(F.when(at == s, F.col("f1"))), F.lit(0)).alias(f"x{s}"),
-                F.coalesce(F.sum(F.when(at == s, F.col("f2"))), F.lit(0)).alias(f"s{s}"),
-            )
-        ]
-    )
-    live = durable(leaves)
-    levels = list(range(bits, 0, -STEP_BITS))[::-1]
-    for level in levels[:-1]:
-        wide = _checksums(live, F.shiftrightunsigned(F.col("r"), bits - level), "w").filter(_differs()).select("w")
-        split = live.withColumn("w", F.shiftrightunsigned(F.col("r"), bits - level))
-        live = durable(split.join(wide, "w", "left_semi").drop("w"))
-    return live.filter(_differs()).select("r"), bits
 
+def mismatched_ranges(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, int, int]:
+    """The smallest ranges whose checksums differ, as (r), how many there are, and how many bits number a range.
 
-def _within(df: DataFrame, ranges: DataFrame, n_ranges: int, key: str, bits: int) -> DataFrame:
-    placed = df.withColumn("__tf_r", _range(F.xxhash64(F.col(f"`{key}`").isNull(), F.col(f"`{key}`")), bits))
-    small = F.broadcast(ranges) if n_ranges <= BROADCAST_RANGES else ranges
-    return placed.join(small.withColumnRenamed("r", "__tf_r"), "__tf_r", "left_semi").drop("__tf_r")
+    Where most wide ranges differ, no narrower ones are looked at before the smallest.
+    """
+    size = max(left.count(), right.count(), 1)
+    bits = min(40, max(6, ceil(log2(max(size / LEAF_ROWS, 2)))))
+    rows = both = _hashes(left, key, fields, 1).unionByName(_hashes(right, key, fields, -1))
+    for level in (w for w in WIDER if w + 3 < bits):
+        live = durable(_differing(rows, level))
+        n = live.count()
+        if not n:
+            return live, 0, level
+        if 2 * n > 1 << level:
+            break
+        rows = _restricted(both, _range(F.col("h"), level), live, n)
+    leaves = durable(_differing(rows, bits))
+    return leaves, leaves.count(), bits
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], types: Mapping[str, str] | None = None, names: tuple[str, str] = ("only_source", "only_mirror")) -> DataFrame:
@@ -100,9 +83,9 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[st
     """
     cast = lambda df: df.select(F.col(f"`{key}`").alias(key), *[F.col(f"`{c}`").cast((types or {}).get(c, dict(df.dtypes)[c])).alias(c) for c in fields])
     left, right = cast(left), cast(right)
-    ranges, bits = mismatched_ranges(left, right, key, fields)
-    n_ranges = ranges.count()
-    sides = [_within(df, ranges, n_ranges, key, bits).withColumn("__tf_side", F.lit(side)) for df, side in ((left, 1), (right, 2))]
+    ranges, n_ranges, bits = mismatched_ranges(left, right, key, fields)
+    at = _range(F.xxhash64(F.col(f"`{key}`").isNull(), F.col(f"`{key}`")), bits)
+    sides = [_restricted(df, at, ranges, n_ranges).withColumn("__tf_side", F.lit(side)) for df, side in ((left, 1), (right, 2))]
     rows = sides[0].unionByName(sides[1]).groupBy(key, *fields).agg(F.bit_or("__tf_side").alias("__tf_m"))
     whole = F.struct(*fields)
     on = lambda s: F.col("__tf_m").bitwiseAND(F.lit(s)) != 0

@@ -70,5 +70,30 @@ def test_empty_and_long(spark):
 def test_only_ranges_that_differ_are_read(spark):
     left = spark.range(20_000).selectExpr("cast(id as string) id", "'x' a", "cast(1 as decimal(18,2)) m", "'v' value")
     right = left.selectExpr("id", "if(id = '77', 'y', a) a", "m", "value")
-    ranges, bits = compare.mismatched_ranges(left, right, "id", FIELDS)
-    assert ranges.count() == 1 and 2**bits >= 20_000 / compare.LEAF_ROWS
+    ranges, n, bits = compare.mismatched_ranges(left, right, "id", FIELDS)
+    assert ranges.count() == n == 1 and 2**bits >= 20_000 / compare.LEAF_ROWS
+    assert compare.mismatched_ranges(left, left, "id", FIELDS)[1] == 0
+
+
+@pytest.mark.parametrize("changed", [0, 1, 50, 3000])
+def test_wide_ranges_are_split_only_where_they_differ(spark, monkeypatch, changed):
+    seen = []
+    real = compare._differing
+    monkeypatch.setattr(compare, "_differing", lambda rows, bits: seen.append((bits, rows.count())) or real(rows, bits))
+    monkeypatch.setattr(compare, "WIDER", (4, 7))
+    n = 16_384
+    left = spark.range(n).selectExpr("cast(id as string) id", "'x' a", "cast(1 as decimal(18,2)) m", "'v' value")
+    right = left.selectExpr("id", f"if(id < {changed}, 'y', a) a", "m", "value")
+    assert compare.differences(left, right, "id", FIELDS).count() == changed
+    if changed == 0:
+        assert seen == [(4, 2 * n)]  # alike: one look at each side
+    elif changed == 1:
+        assert [b for b, _ in seen] == [4, 7, 11] and seen[1][1] < 2 * n / 8 and seen[2][1] < 2 * n / 64
+    elif changed == 3000:
+        assert [b for b, _ in seen] == [4, 11]  # everything differs: no use in narrowing step by step
+
+
+def test_copies_delivered_again_are_no_difference(spark):
+    left = [(f"k{i}", "x", None, str(i), 0) for i in range(300)]
+    assert found(spark, left + left[:50] * 3, left) == set()
+    assert found(spark, left + left[:1] * 2, left + [("k0", "y", None, "0", 0)] * 3) == {("k0", "a")}
