@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,12 +156,13 @@ def labelled(df: DataFrame, fields: Sequence[str], group: str, sample: int = SAM
         .withColumn("label", weak_label(F.col("value"), F.col("field"), seeds))
         .withColumn("u", (F.xxhash64("value", F.lit(9)) / F.lit(2.0**63) + 1) / 2)
     )
-    parts = []
+    picked = []
     for label in (True, False):
         for at, most in ((2, sample), (1, sample // 4), (0, sample // 4)):
             part = distinct.filter((F.col("label") == label) & (F.col("at") == at))
-            parts.append(part.orderBy(-F.log(F.col("u")) / F.col("n"), "value", "field").limit(most).select("value", "label", (2 - F.col("at")).alias("part")))
-    return sorted(tuple(r) for r in reduce(DataFrame.unionByName, parts).collect())
+            by = part.orderBy(-F.log(F.col("u")) / F.col("n"), "value", "field").limit(most)
+            picked += [(r.value, label, 2 - at) for r in by.select("value").collect()]
+    return picked
 
 
 def learn(picked: Sequence[tuple[str, bool, int]]) -> Model:
