@@ -17,8 +17,12 @@ from tallyforge.operators import skew
 from tallyforge.operators.findings import finding, together
 
 SELECTABLE = ("deprecated", "released")
-#: Labels that name no exact version.
-FLOATING = ("current", "head", "latest", "main", "master", "stable")
+#: Labels that name no exact version; the last three are ours.
+FLOATING = ("latest", "current", "stable", "head", "main", "master")
+#: Why an entry is recommended, and why none is.
+REVIEWED, COMPATIBLE, NOT_RECENT, REUSE_PLANNED = "reviewed_profile", "profile_compatible", "exact_not_recent", "exact_reuse_material_transformation_planned"
+FACET_PLANNED, LINEAGE_REPEATED, FINGERPRINT_REPEATED = "facet_applicability_material_transformation_planned", "submission_lineage_repeated", "diversity_fingerprint_repeated"
+BLOCKED, NOTHING = "reuse_policy_blocked_all_candidates", "no_compatible_profiled_template"
 
 
 def selectable(df: DataFrame, status: str = "release_status") -> DataFrame:
@@ -185,12 +189,12 @@ def recommend(profiles: DataFrame, catalog: DataFrame, history: DataFrame, reque
     order = [F.col("release_status") == "deprecated", F.col("exact") > 0, F.col("lineage"), F.col("alike"), F.col("submission_profile_id"), F.col("template_id"), F.col("version")]
     reasons = F.array_compact(
         F.array(
-            F.lit("reviewed_profile"),
-            F.lit("profile_compatible"),
-            F.when(F.col("exact") > 0, "exact_reuse_material_transformation_planned").otherwise("exact_not_recent"),
-            F.when(F.size("needs") > 0, "facet_applicability_material_transformation_planned"),
-            F.when(F.col("lineage") > 0, "submission_lineage_repeated"),
-            F.when(F.col("alike") > 0, "diversity_fingerprint_repeated"),
+            F.lit(REVIEWED),
+            F.lit(COMPATIBLE),
+            F.when(F.col("exact") > 0, REUSE_PLANNED).otherwise(NOT_RECENT),
+            F.when(F.size("needs") > 0, FACET_PLANNED),
+            F.when(F.col("lineage") > 0, LINEAGE_REPEATED),
+            F.when(F.col("alike") > 0, FINGERPRINT_REPEATED),
         )
     )
     return skew.ranked(counted, order).select("rank", *key, "release_status", "submission_profile_id", "fingerprint", "exact", "lineage", "alike", reasons.alias("reasons"))
@@ -199,4 +203,4 @@ def recommend(profiles: DataFrame, catalog: DataFrame, history: DataFrame, reque
 def no_match_reason(profiles: DataFrame, catalog: DataFrame, request: Request) -> str:
     """Why a recommendation is empty: the history blocked all, or nothing was compatible."""
     empty = profiles.sparkSession.createDataFrame([], "seq bigint, template_id string, version string")
-    return "reuse_policy_blocked_all_candidates" if recommend(profiles, catalog, empty, request).limit(1).collect() else "no_compatible_profiled_template"
+    return BLOCKED if recommend(profiles, catalog, empty, request).limit(1).collect() else NOTHING

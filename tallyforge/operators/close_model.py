@@ -93,6 +93,7 @@ def _pass(delta: Column) -> Column:
     return F.when(delta == 0, "PASS").otherwise("FAIL")
 
 
+#: The fields of each table's rows.
 SOURCE = ("source_row_id", "entity_code", "account_code", "transaction_date", "description", "debit", "credit", "status_code")
 MAP = ("account_code", "account_name", "statement_group", "reconciliation_owner_role", "active")
 ENTRY = ("entry_id", "account_code", "description", "debit", "credit", "source_reference", "preparation_status")

@@ -16,7 +16,7 @@ from tallyforge.operators.findings import finding, together
 from tallyforge.sources import artifacts as a
 
 #: Core properties that tell of a document's making.
-STALE = ("created", "creator", "lastModifiedBy", "modified")
+STALE = ("creator", "lastModifiedBy", "created", "modified")
 _UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, IndexError)
 
 

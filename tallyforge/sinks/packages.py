@@ -29,11 +29,11 @@ _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _TYPE = "application/vnd.openxmlformats-officedocument."
 #: What XML cannot hold, however it is written.
-_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
+_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 
 
 def _shown(text: str) -> str:
-    return escape(_NO_XML.sub("�", text), {"\r": "&#13;"})
+    return escape(_NO_XML.sub("\ufffd", text), {"\r": "&#13;"})
 
 
 def letters(number: int) -> str:

@@ -17,6 +17,7 @@ _TOKEN = re.compile(
 )
 _STRING_PART = re.compile(rb"[^()\\]+|\\.|[()]", re.S)
 _WORDS = {b"true": True, b"false": False, b"null": None}
+#: The format's header, its end, the beginning of an object, and an entry of the table.
 _HEADER = re.compile(rb"%PDF-(?:1\.[0-7]|2\.0)(?:\r\n?|\n)")
 _END = re.compile(rb"startxref\s+(\d+)\s+%%EOF\s*\Z")
 _OBJECT = re.compile(rb"(\d+)[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+obj(?![^\x00\t\n\f\r ()<>\[\]{}/%])")

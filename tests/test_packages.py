@@ -59,7 +59,7 @@ HEADER = [f.name for f in malformed.SOURCE_ROW]
 
 def test_lines_of_files_are_split_and_classified(spark, tmp_path):
     good = "R{},E,A,2024-01-01,t,1.00,0.00,OPEN"
-    (tmp_path / "a.csv").write_text("﻿" + ",".join(HEADER) + "\r\n" + "\r\n".join(good.format(i) for i in range(5000)) + "\r\n\r\nshort,row\r\n")
+    (tmp_path / "a.csv").write_text("\ufeff" + ",".join(HEADER) + "\r\n" + "\r\n".join(good.format(i) for i in range(5000)) + "\r\n\r\nshort,row\r\n")
     (tmp_path / "b.csv").write_text("other,header\n" + good.format(1) + "\n")
     (tmp_path / "c.txt").write_text("x")
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
