@@ -387,7 +387,9 @@ def _f1(hit: np.ndarray, y: np.ndarray) -> float:
 
 
 def scored(documents: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """(carry..., score): every text's calibrated score; null for a null text."""
+    """(carry..., score): every text's calibrated score; null for a null text. No carried column may be named so."""
+    if "score" in carry:
+        raise ValueError("carried columns clash with what is made: ['score']")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     plain = documents.select(*[F.col(f"`{c}`") for c in carry], "text")
 

@@ -83,6 +83,8 @@ def test_in_spark(spark):
     rates = {r.source: r for r in abuse.rates(cases.withColumn("flagged", cases.score >= model.threshold)).collect()}
     assert rates["s3"].documents == 0 and rates["s3"].rate is None and rates[None].documents == 134
     assert abuse.scored(docs.limit(0), model, "doc_id").count() == 0
+    with pytest.raises(ValueError, match="clash"):
+        abuse.scored(docs, model, "doc_id", "score")
 
 
 def test_without_labels(spark):
