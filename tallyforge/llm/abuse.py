@@ -10,6 +10,10 @@ Training takes a bounded sample of labelled documents, in folds; trees see word
 other folds, and calibration and threshold come from predictions by words and trees that know nothing
 of the predicted fold. Fewer labels fit shallower trees over the same features.
 
+Labelled documents hold more cases than a corpus does. From the scores of all documents, the share of
+cases in the corpus is estimated, scores are calibrated to it, and the threshold is the one whose
+expected F1 over the corpus is best (``adapted``).
+
 Defined results
 ---------------
 * Null texts get a null score and are no cases; empty texts get the score of a text without words.
@@ -267,6 +271,7 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]
     threshold: float
     report: dict[str, float]
+    share: float = 0.5  # of cases among the labelled texts, which scores are calibrated to
 
     def scores(self, texts: list[str], codes: _Codes | None = None) -> np.ndarray:
         if self.trees is None:
@@ -344,6 +349,8 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
             trees = _trees(crossed(rest)[rest], y[rest])
             unseen[out] = trees.margin(features(part(out), *learned_words(part(rest), y[rest], size)))
     steps = boosting.isotonic(unseen, y)
+    surest = 1 / (len(y) + 2)  # no number of labels makes a score certain
+    steps = (steps[0], np.clip(steps[1], surest, 1 - surest))
     p = boosting.calibrated(unseen, steps)
     threshold, report["f1"] = _cut(p, y)
     hit = p >= threshold
@@ -359,7 +366,7 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
     keep = np.flatnonzero((words != 0) | (context != 0))
     name = {place: word for word, place in codes.places.items()}
     places = {name[k]: i + 1 for i, k in enumerate(keep.tolist())}
-    return Model(places, np.append(0.0, words[keep]), np.append(0.0, context[keep]), trees, steps, threshold, report)
+    return Model(places, np.append(0.0, words[keep]), np.append(0.0, context[keep]), trees, steps, threshold, report, float(y.mean()))
 
 
 def _cut(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -423,6 +430,46 @@ def scored(documents: DataFrame, model: Model, *carry: str) -> DataFrame:
     return plain.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in carry) + "score double")
 
 
+def corpus_share(p: np.ndarray, n: np.ndarray, share: float) -> float:
+    """The share of cases in a corpus of ``n`` documents of each score ``p``, where scores are calibrated to
+    a sample with ``share`` of cases: the most likely one, by expectation and maximisation."""
+    out = share
+    for _ in range(500):
+        new = float((_shifted(p, share, out) * n).sum() / n.sum())
+        new = min(max(new, 1e-6), 1 - 1e-6)
+        if abs(new - out) < 1e-8:
+            break
+        out = new
+    return out
+
+
+def _odds_ratio(share: float, other: float) -> float:
+    return other / (1 - other) * (1 - share) / share
+
+
+def _shifted(p: np.ndarray, share: float, other: float) -> np.ndarray:
+    """Scores calibrated to one share of cases, calibrated to another."""
+    k = _odds_ratio(share, other)
+    return p * k / (p * k + 1 - p)
+
+
+def adapted(scores: DataFrame, model: Model) -> tuple[DataFrame, float]:
+    """``scores`` (..., score), which must be kept, calibrated to their own share of cases, and the threshold
+    of the best expected F1 among them. They are counted by score in thousandths; nothing else is gathered."""
+    counts = sorted((r["b"], r["count"]) for r in scores.filter("score is not null").groupBy(F.round("score", 3).alias("b")).count().collect())
+    if model.trees is None or not counts:
+        return scores, model.threshold
+    p, n = np.clip(np.array([b for b, _ in counts]), 5e-4, 1 - 5e-4), np.array([c for _, c in counts], float)
+    share = corpus_share(p, n, model.share)
+    expected = _shifted(p, model.share, share) * n
+    hits, size = np.cumsum(expected[::-1])[::-1], np.cumsum(n[::-1])[::-1]
+    best = int(np.argmax(2 * hits / (size + expected.sum())))
+    k = _odds_ratio(model.share, share)
+    score = F.col("score")
+    threshold = float(_shifted(p[best : best + 1] - 5e-4, model.share, share)[0])  # the lower edge of its thousandth
+    return scores.withColumn("score", score * k / (score * k + 1 - score)), threshold
+
+
 def rates(cases: DataFrame) -> DataFrame:
     """(source, documents, flagged, rate, mean_score) from (source, score, flagged)."""
     return cases.groupBy("source").agg(

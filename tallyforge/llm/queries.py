@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import abuse, copies, leakage, packing, residue
+from tallyforge.session import durable
 from tallyforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,23 +128,25 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
 # 9: abusive, hateful or sexual content
 
 
-def _model(spark: SparkSession, folder: str) -> abuse.Model:
-    return abuse.fit(abuse.sample(table(spark, folder, "documents"), table(spark, folder, "doc_labels")))
+def _judged(spark: SparkSession, folder: str, *carry: str) -> tuple[DataFrame, float]:
+    """Every document's score, and the score from which on it is a case."""
+    documents = table(spark, folder, "documents")
+    model = abuse.fit(abuse.sample(documents, table(spark, folder, "doc_labels")))
+    return abuse.adapted(durable(abuse.scored(documents, model, *carry)), model)
 
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.scored(table(spark, folder, "documents"), _model(spark, folder), "doc_id")
+    return _judged(spark, folder, "doc_id")[0]
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    model = _model(spark, folder)
-    return abuse.scored(table(spark, folder, "documents"), model, "doc_id").filter(F.col("score") >= model.threshold).select("doc_id").distinct()
+    scores, threshold = _judged(spark, folder, "doc_id")
+    return scores.filter(F.col("score") >= threshold).select("doc_id").distinct()
 
 
 def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
-    model = _model(spark, folder)
-    scored = abuse.scored(table(spark, folder, "documents"), model, "doc_id", "source")
-    return abuse.rates(scored.withColumn("flagged", F.col("score") >= model.threshold))
+    scores, threshold = _judged(spark, folder, "source")
+    return abuse.rates(scores.withColumn("flagged", F.col("score") >= threshold))
 
 
 def _windows(table: str, key: str) -> str:

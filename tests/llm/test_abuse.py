@@ -127,3 +127,33 @@ def test_context_tells_harmless_uses_apart():
     model = abuse.fit(rows)
     p = model.scores(["Naked rebar on pallet 9 was counted.", "Send me naked photos, you dead fool."])
     assert p[0] < model.threshold <= p[1]
+
+
+def test_share_of_cases_in_a_corpus_is_estimated():
+    r = np.random.default_rng(5)
+    y = r.random(20_000) < 0.05
+    raw = np.where(y, r.normal(2, 1, len(y)), r.normal(-2, 1, len(y)))
+    for share in (0.05, 0.3, 0.6):  # scores calibrated to a sample of that share
+        p = 1 / (1 + np.exp(-(4 * raw + np.log(share / (1 - share)))))
+        assert abs(abuse.corpus_share(p, np.ones(len(p)), share) - y.mean()) < 0.01
+
+
+def test_scores_adapt_to_the_corpus(spark):
+    model = abuse.fit(corpus(1200))  # three in ten are cases
+    rows = corpus(1500, seed=11, rate=0.03)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(9000, None)], "doc_id long, text string")
+    raw = abuse.scored(docs, model, "doc_id").cache()
+    scores, threshold = abuse.adapted(raw, model)
+    got = {r.doc_id: r.score for r in scores.collect()}
+    before = {r.doc_id: r.score for r in raw.collect()}
+    assert got[9000] is None and len(got) == 1501
+    order = sorted(range(1500), key=lambda i: before[i])
+    assert all(got[a] <= got[b] + 1e-12 for a, b in zip(order, order[1:], strict=False))  # the order stays
+    mean = sum(got[i] for i in range(1500)) / 1500
+    assert abs(mean - sum(y for _, y in rows) / 1500) < 0.02
+    hit = {i for i in range(1500) if got[i] >= threshold}
+    want = {i for i, (_, y) in enumerate(rows) if y}
+    assert len(hit & want) > 0.85 * len(want) and len(hit & want) > 0.85 * len(hit)
+    assert abuse.adapted(raw.limit(0), model)[0].count() == 0
+    nothing = abuse.fit([])
+    assert {r.score for r in abuse.adapted(abuse.scored(docs, nothing, "doc_id"), nothing)[0].collect()} == {None}
